@@ -83,8 +83,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, grown by doubling."""
     if not _powers or len(_powers[0]) < n:
         size = 1 << max(12, int(n).bit_length())
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b)]).astype(np.uint64), dtype=np.uint64) for b in (np.uint64(_BASE), np.uint64(_BASE_INVERSE))]
+        tables = []
+        for base in (_BASE, _BASE_INVERSE):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            tables.append(np.cumprod(factors, dtype=np.uint64))
+        _powers[:] = tables
     return _powers[0], _powers[1]
 
 

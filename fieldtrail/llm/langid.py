@@ -189,3 +189,15 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFr
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(score, f"{ddl}, lang_pred string, lang_score double")
+
+
+def keep_known(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language; texts that are null or without a letter go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, _ = shared.value.predict(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

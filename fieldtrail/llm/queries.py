@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrail.llm import langid, licenses, maintext, quality, toxicity, urlfilter
+from fieldtrail.llm import decontaminate, langid, licenses, maintext, neardup, packing, quality, substring, toxicity, urlfilter
 from fieldtrail.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabularies lie on this machine; every executor has the same files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.duplicate_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -38,6 +58,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("lang_pred"), F.col("lang_score").alias("score"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = docs.where(crc_mod("doc_id", 4) != 2).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
@@ -46,8 +70,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_main_text, op5_url_filter, op6_licenses, op7_quality, op8_language, op10_toxicity)}
-
+    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_main_text, op4_decontamination, op5_url_filter, op6_licenses, op7_quality, op8_language, op9_near_duplicates, op10_toxicity)}
+
+
+#: DuckDB: every window of every document by its words' md5, and the least document that has it.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS pos FROM d WHERE len(w) >= 50)),
+least AS (SELECT h, min(doc_id) AS src FROM win GROUP BY h),
+dup AS (SELECT doc_id, pos FROM win JOIN least USING (h) WHERE src < doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM d WHERE doc_id IN (SELECT doc_id FROM dup)),
+mark AS (SELECT word.doc_id, word.pos, word, count(dup.pos) OVER (PARTITION BY word.doc_id ORDER BY word.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM word LEFT JOIN dup ON word.doc_id = dup.doc_id AND word.pos = dup.pos),
+cut AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept FROM mark GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256(array_to_string(w, ' '))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
 
 #: DuckDB: addresses, the longest rule, and decisions spread over aliases by recursion.
 OP5_SQL = r"""
@@ -88,4 +126,4 @@ FROM k LEFT JOIN said USING (key)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_url_filter": OP5_SQL}
