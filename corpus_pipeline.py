@@ -1,10 +1,44 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators: language, near duplicates, substrings, test passages, packing.
+
+All stages but the last return the columns of their input. Each works on all rows that the one before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from fieldtrail.llm import decontaminate, langid, neardup, packing, substring
+from fieldtrail.llm.queries import tokenizer_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a language (null, or no letter)."""
+    return langid.keep_known(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least id of each class."""
+    return neardup.deduplicate(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 words and more that a text with a smaller id has too; texts of which nothing is left go."""
+    return substring.remove_duplicates(docs)
+
+
+def test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts that hold a benchmark passage."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("language", language), ("near duplicates", near_duplicates), ("substrings", substrings), ("test passages", test_passages), ("packing", pack)]
+
+#: Signatures, language models and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
@@ -16,8 +50,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": run} if STAGES else {}
+    return {"pipeline": run}
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
