@@ -57,6 +57,21 @@ def sampled(key: str, share):
     return F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1 << 30)) < share * float(1 << 30)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int], id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
+    """Whole texts with their 0/1 label, about ``most[label]`` of each: (id, text, label), labels' counts, and shares taken.
+
+    The sample is drawn from the label table by a hash of the id; what meets the texts is bounded by ``most``, so it is
+    broadcast. Other labels, null texts and ids are left out; an id with several labels has the greatest.
+    """
+    labels = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1))
+    labels = labels.groupBy(id_col).agg(F.max("label").alias("label"))
+    sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shares = {k: min(1.0, most[k] / max(1, sizes.get(k, 0))) for k in (0, 1)}
+    drawn = labels.where(sampled(id_col, F.when(F.col("label") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))))
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    return texts.join(F.broadcast(drawn), id_col), sizes, shares
+
+
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; forgets everything when it has grown to ``limit`` words."""
 

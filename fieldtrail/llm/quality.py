@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrail.llm.common import sampled
+from fieldtrail.llm.common import labelled_sample
 
 _SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -149,23 +149,21 @@ def fit_crf(docs: list[np.ndarray], labels: list[int], rounds: int = 200, rate:
     return LineCrf(theta[:N_FEATURES].copy(), theta[N_FEATURES:].reshape(2, 2).copy())
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", docs_per_label: int = 1000, max_lines: int = 64) -> LineCrf:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_label: int = 1000, max_lines: int = 64) -> LineCrf:
     """Fit on about ``docs_per_label`` texts of quality 0 and of 1, of at most ``max_lines`` lines, chosen by a hash of the id.
 
-    ``train`` needs ``id_col``, text and quality (0 or 1); other rows are left out. Without both labels all lines are content.
+    ``labels`` needs ``id_col`` and quality (0 or 1). Without both labels all lines are content.
     """
-    train = train.select(id_col, "text", F.col("quality").cast("int").alias("label")).where(F.col("text").isNotNull() & F.col("quality").isin(0, 1)).where(F.size(F.split("text", "\n")) <= max_lines)
-    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sample, sizes, _ = labelled_sample(docs, labels, "quality", {0: docs_per_label, 1: docs_per_label}, id_col, text_col)
     if len(sizes) < 2:
         return fit_crf([], [])
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, docs_per_label / sizes[1]))).otherwise(F.lit(min(1.0, docs_per_label / sizes[0])))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array([line_features(t).ravel().tolist() for t in batch["text"].to_pylist()], pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    sample = train.where(sampled(id_col, share)).select(F.col(id_col).cast("string").alias("id"), "label", "text").mapInArrow(features, "id string, label int, x array<double>")
-    rows = sample.where(F.size("x") > 0).orderBy("id").limit(4 * docs_per_label).collect()
+    sample = sample.where(F.size(F.split("text", "\n")) <= max_lines).select(F.col(id_col).cast("string").alias("id"), "label", "text")
+    rows = sample.mapInArrow(features, "id string, label int, x array<double>").where(F.size("x") > 0).orderBy("id").limit(4 * docs_per_label).collect()
     return fit_crf([np.array(r["x"]).reshape(-1, N_FEATURES) for r in rows], [r["label"] for r in rows])
 
 

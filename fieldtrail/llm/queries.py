@@ -47,8 +47,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return quality.judge(docs, quality.fit(labelled))
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +63,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labelled = docs.where(crc_mod("doc_id", 4) != 2).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(labelled))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 

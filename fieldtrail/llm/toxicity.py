@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrail.llm.common import sampled
+from fieldtrail.llm.common import labelled_sample
 
 EDGE = "\"'`“”„«»‘’‚‹›.,;:!?()[]{}<>*#$%&|~^=+-_/\\…·•"
 OPENING, CLOSING = "\"“„«‘‹", "\"”“»’›"
@@ -212,21 +212,17 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(stems, pa.bool_()), pa.array(labels, pa.int32()), pa.array(contexts, pa.int64())], ["term", "stem", "label", "context"])
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", max_toxic: int = 1000, max_clean: int = 3000, max_terms: int = 2000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000, max_clean: int = 3000, max_terms: int = 2000) -> ToxicityModel:
     """Learn the lexicon from about ``max_toxic`` and ``max_clean`` whole labelled texts, chosen by a hash of the id.
 
-    ``train`` needs ``id_col``, text and toxic (0 or 1); others are left out. A term's support is the number of
+    ``labels`` needs ``id_col`` and toxic (0 or 1). A term's support is the number of
     different neighbourhoods in which toxic texts have it, so that a copied text counts once. A term must be
-    too frequent there to be chance, given how many terms are tried, and hardly occur in clean texts. At most
-    ``max_terms`` terms are kept, the best supported first.
+    too frequent there to be chance, and hardly occur in clean texts. At most ``max_terms`` terms are kept, the best supported first.
     """
-    train = train.select(id_col, "text", F.col("toxic").cast("int").alias("label")).where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).dropDuplicates([id_col])
-    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sample, sizes, shares = labelled_sample(docs, labels, "toxic", {1: max_toxic, 0: max_clean}, id_col, text_col)
     if not sizes.get(1):
         return ToxicityModel([], 0.01)
-    shares = {1: min(1.0, max_toxic / sizes[1]), 0: min(1.0, max_clean / max(1, sizes.get(0, 0)))}
-    share = F.when(F.col("label") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
-    sample = train.where(sampled(id_col, share)).select("text", "label").dropDuplicates(["text"])
+    sample = sample.select("text", "label").dropDuplicates(["text"])
     rows = sample.mapInArrow(_term_rows, "term string, stem boolean, label int, context long")
     counted = rows.groupBy("term", "stem", "label", "context").agg(F.count("*").alias("n"))
     counted = counted.groupBy("term", "stem").agg(F.sum((F.col("label") == 1).cast("long")).alias("toxic"), F.sum((F.col("label") == 0).cast("long")).alias("clean"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean_texts"))
@@ -248,7 +244,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", max_toxic: int = 1000, max_cle
             n, n_clean = found[key]
             kept[key] = (n + 0.5) / (n + n_clean * toxic / clean + 1.0)
     terms = [(t, s, p) for (t, s), p in kept.items()]
-    shared = train.sparkSession.sparkContext.broadcast(ToxicityModel(terms, 0.01))
+    shared = docs.sparkSession.sparkContext.broadcast(ToxicityModel(terms, 0.01))
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
