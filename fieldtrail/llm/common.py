@@ -47,6 +47,20 @@ def unstage(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_maybe(df: DataFrame, id_col: str, ids: DataFrame, flag: str, bits: int = 25) -> DataFrame:
+    """``df`` with a flag that is true for every row whose id is in ``ids``, and for few others.
+
+    The ids set bits of a bitmap by their hash; it is broadcast as at most 2^(bits - 6) words of 64 bits, however many ids there are.
+    So only rows that may match go through a shuffle. When the bitmap fills up more rows are flagged, and results stay the same.
+    """
+    at, bit_, word, bits_ = (f"maybe_{k}_" + "_" * sum(map(len, df.columns)) for k in ("at", "bit", "word", "bits")) if any(c.startswith("maybe_") for c in df.columns) else ("maybe_at", "maybe_bit", "maybe_word", "maybe_bits")
+    slot = f"pmod(xxhash64(`{id_col}`, 77), {1 << bits}L)"
+    bit = f"shiftleft(1L, cast({slot} & 63 as int))"
+    words = ids.select(F.expr(f"shiftright({slot}, 6)").alias(at), F.expr(bit).alias(bit_)).groupBy(at).agg(F.bit_or(bit_).alias(bits_))
+    out = df.withColumn(word, F.expr(f"shiftright({slot}, 6)")).join(F.broadcast(words), F.col(word) == F.col(at), "left")
+    return out.withColumn(flag, F.coalesce(F.expr(f"({bits_} & {bit}) <> 0"), F.lit(False))).select(*df.columns, flag)
+
+
 def crc_mod(key: str, n: int):
     """crc32 of the id as text, modulo n: the fixed folds."""
     return F.crc32(F.col(key).cast("string")) % n

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrail.llm.common import WordHashes, mix, rolling, stage, unstage
+from fieldtrail.llm.common import WordHashes, mix, rolling, stage, unstage, with_maybe
 from fieldtrail.llm.components import components
 
 #: Of the words seen last, in each worker.
@@ -127,12 +127,33 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     return x.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+def _lonely(texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(id): texts with more than 1 - threshold of their weight in shingles that none of the other texts has.
+
+    The similarity is at most the share of a text's weight in common shingles, so these have no partner among ``texts``.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                codes, counts = shingles(text, size)
+                at = pa.array(np.full(len(codes), i), pa.int64())
+                share = counts / max(1, counts.sum())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(codes.view(np.int64)), pa.array(share)], ["id", "code", "share"])
+
+    rows = texts.select("id", "text").mapInArrow(run, f"id {kind}, code long, share double")
+    own = rows.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("share").alias("share")).where("n = 1")
+    return own.groupBy("id").agg(F.sum("share").alias("own")).where(F.col("own") > 1 - threshold + 1e-9).select("id")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 5, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) for every row of ``docs``; class_id is the least id of the class.
 
     Texts of equal words are one node, its least id; only nodes are compared. In each bucket of a band the least
-    node is compared with the others. If that leaves a bucket in several components, every node outside the largest is
-    compared with all nodes of other components there, so no candidate link between components is left out. A text
+    node is compared with the others. If that leaves a bucket in several components, the nodes outside the largest are
+    compared with all nodes of other components there, so no candidate link between components is left out; but for those
+    that cannot be similar to any of them, for too much of their weight lies in shingles that no other node has. A text
     without a word is a class of its own, also when null; a null id has a null class; repeated rows repeat.
 
     Shuffled: ids, keys and bands; texts once, of those in some candidate pair again for the comparison.
@@ -145,8 +166,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     leaders = flat.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("bucket", "leader")
     shared = stage(flat.join(leaders, "bucket"))
     pairs = stage(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = shared.select("id").distinct()
-    texts = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(wanted, "id", "left_semi"))
+    wanted = stage(shared.select("id").distinct())
+    texts = with_maybe(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL"), "id", wanted, "maybe").where("maybe")
+    texts = stage(texts.select("id", "text").join(wanted, "id", "left_semi"))
     links = stage(_similar(pairs, texts, threshold, size))
     member = components(links)
     # buckets whose nodes are in several components
@@ -154,7 +176,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = stage(parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.component").alias("main")))
     inside = stage(placed.join(split, "bucket"))
-    outsider = inside.where("component <> main").select("bucket", F.col("id").alias("u"), F.col("component").alias("cu"))
+    lonely = stage(_lonely(texts.join(inside.select("id").distinct(), "id", "left_semi"), threshold, size))
+    outsider = inside.where("component <> main").join(lonely, "id", "left_anti").select("bucket", F.col("id").alias("u"), F.col("component").alias("cu"))
     other = inside.select("bucket", F.col("id").alias("v"), F.col("component").alias("cv"))
     more = outsider.join(other, "bucket").where("cu <> cv").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     more = stage(more.join(pairs, ["a", "b"], "left_anti"))
@@ -162,7 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     if not found.isEmpty():
         unstage(member)
         member = components(links.unionByName(found))
-    unstage(placed, split, inside, more, pairs, texts, shared, links, found)
+    unstage(placed, split, inside, lonely, wanted, more, pairs, texts, shared, links, found)
     known = keyed.select("id", "key").join(first, "key").join(member.withColumnRenamed("node", "first"), "first", "left")
     known = known.select("id", F.coalesce("component", "first").alias("class_id"))
     rest = sig.where("key IS NULL OR id IS NULL").select("id", F.col("id").alias("class_id"))
@@ -174,7 +197,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     classes = stage(near_duplicates(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull()))
     counted = classes.groupBy(id_col).agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
     out = stage(counted.where((F.col("class_id") != F.col(id_col)) | (F.col("n") > 1)))
-    kept = docs.join(out.select(id_col), id_col, "left_anti").select(docs.columns)
+    flag = "maybe"
+    while flag in docs.columns:
+        flag += "_"
+    flagged = with_maybe(docs, id_col, out, flag)
+    # only rows that may go are shuffled
+    kept = flagged.where(~F.col(flag)).select(docs.columns).unionByName(flagged.where(F.col(flag)).join(out.select(id_col), id_col, "left_anti").select(docs.columns))
     repeated = out.where((F.col("class_id") == F.col(id_col)) & (F.col("n") > 1)).select(id_col)
     if repeated.isEmpty():
         return kept

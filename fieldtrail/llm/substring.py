@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrail.llm.common import WordHashes, _power_tables, mix, rolling, runs, stage, unstage
+from fieldtrail.llm.common import WordHashes, _power_tables, mix, rolling, runs, stage, unstage, with_maybe
 
 WINDOW, GRAM = 50, 10
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -175,7 +175,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     anchors = known.where(F.size("anchors") > 0).join(first, "key").where("id = first").select("id", "key", F.explode("anchors").alias("anchor"))
     common = stage(anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"))
     sharing = stage(anchors.join(common, "anchor").groupBy("id", "key").agg(F.collect_list("anchor").alias("anchors")))
-    texts = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sharing, "id"))
+    texts = with_maybe(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", sharing, "maybe").where("maybe").select("id", "text")
+    texts = stage(texts.join(sharing, "id"))
     unstage(common, sharing)
     # level 1: whole blocks; the first text with a block is its source
     blocks = stage(_block_rows(texts, window, gram).distinct())
@@ -238,4 +239,10 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 columns[length_col] = pa.array([n if c is None or t is None else len(t) for n, c, t in zip(batch.column(length_col).to_pylist(), batch.column(cuts_col).to_pylist(), texts, strict=True)], columns[length_col].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.join(stage(spans), id_col, "left").select(*names, cuts_col).mapInArrow(cut, docs.schema)
+    spans, flag = stage(spans), cuts_col + "_maybe"
+    while flag in names:
+        flag += "_"
+    flagged = with_maybe(docs, id_col, spans, flag)
+    # only rows that may be cut are shuffled
+    rest = flagged.where(~F.col(flag)).select(*names)
+    return rest.unionByName(flagged.where(F.col(flag)).join(spans, id_col, "left").select(*names, cuts_col).mapInArrow(cut, docs.schema))
