@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What ends a line: all that Python's splitlines knows.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+#: White space, as Python's strip knows it.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a name has a seam: separators, and a capital after a small letter or digit.
 NAME_SEAM = "[_\\-]+|(?<=[a-z0-9])(?=[A-Z])"
 #: The part of a line before a ``//`` outside quotes, as group 1; possessive, so long lines do not recurse.
@@ -32,8 +34,7 @@ STRING_LITERAL = r'(?s)"((?:\\.|[^"\\])*+)"'
 
 def lines(text: Column) -> Column:
     """The lines of a text; what follows a last line end is no line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def name_parts(name: Column) -> Column:
@@ -68,11 +69,11 @@ def quote(text: str) -> str:
 def variant_pattern(variants: Sequence[str], compound: bool) -> str:
     """Java pattern of the variants as whole identifiers. Of a keyword of several words, a variant with a first
     capital may also start inside an identifier, after a small letter or digit. No variant: never matches."""
-    out = []
-    for v in variants:
-        start = "(?:(?<![A-Za-z0-9$])|(?<=[a-z0-9]))" if compound and v[:1].isupper() else "(?<![A-Za-z0-9$])"
-        out.append(f"{start}{quote(v)}(?![A-Za-z0-9$])")
-    return "|".join(out) or "(?!)"
+    inner = [v for v in variants if compound and v[:1].isupper()]
+    outer = [v for v in variants if v not in inner]
+    # variants of the two groups start with different letters, so the order between them does not matter
+    groups = [("(?<![A-Za-z0-9$])", outer), ("(?:(?<![A-Za-z0-9$])|(?<=[a-z0-9]))", inner)]
+    return "|".join(f"{start}(?:{'|'.join(map(quote, group))})(?![A-Za-z0-9$])" for start, group in groups if group) or "(?!)"
 
 
 def code_portion(line: Column) -> Column:
@@ -80,28 +81,40 @@ def code_portion(line: Column) -> Column:
     return F.when(line.rlike(r"(?U)^\s*(?:/\*|\*)"), "").otherwise(F.regexp_extract(line, CODE, 1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def match_positions(text: Column, pattern: str | Column) -> Column:
     """All matches from left to right: array of (col, from 1, and the matched text)."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    length = lambda acc, x: acc + F.length(x)
-    before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), length) + F.aggregate(F.slice(found, 1, i), F.lit(0), length)
-    return F.transform(found, lambda m, i: F.struct((before(i) + 1).alias("col"), m.alias("match")))
+
+    def sizes(t: Column) -> Column:
+        found = F.regexp_extract_all(t, pattern, F.lit(0))
+        return F.struct(found.alias("found"), F.transform(F.split(t, pattern, -1), F.length).alias("gaps"), F.transform(found, F.length).alias("lengths"))
+
+    def places(s: Column) -> Column:
+        add = lambda acc, x: acc + x
+        before = lambda i: F.aggregate(F.slice(s["gaps"], 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(s["lengths"], 1, i), F.lit(0), add)
+        return F.transform(s["found"], lambda m, i: F.struct((before(i) + 1).alias("col"), m.alias("match")))
+
+    return let(let(text, sizes), places)
 
 
 def occurrence_type(line: Column, col: Column, length: Column) -> Column:
     """annotation, string, definition or identifier, by what stands around the match."""
-    before = F.regexp_replace(F.substr(line, F.lit(1), col - 1), r"(?U)\s+$", "")
+    before = F.rtrim(F.substr(line, F.lit(1), col - 1), F.lit(BLANKS))
     return (
         F.when(before.endswith("@"), "annotation")
         .when(F.substr(line, col, length + 1).rlike("[\"']"), "string")
-        .when(before.rlike(r"(?U)\b(public|private|protected|void|int|long|String|var|boolean)\b") & F.substr(line, col).contains("("), "definition")
+        .when(line.contains("(") & F.substr(line, col).contains("(") & before.rlike(r"(?U)\b(public|private|protected|void|int|long|String|var|boolean)\b"), "definition")
         .otherwise("identifier")
     )
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def annotation_names(text: Column) -> Column:
