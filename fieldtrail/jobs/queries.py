@@ -323,8 +323,8 @@ def capped_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + GRAPH_SQL + """, tables AS (SELECT DISTINCT dst AS id FROM normal WHERE kind = 'references'),
-walk(start, at, d) AS (SELECT id, id, 0 FROM nodes UNION SELECT start, dst, d + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM normal) ON src = at WHERE d < 4 AND NOT starts_with(at, 'table:'))
-SELECT start, (min(d) + 1)::BIGINT AS n FROM walk WHERE d > 0 AND starts_with(at, 'table:') GROUP BY start""")
+walk(origin, place, d) AS (SELECT id, id, 0 FROM nodes UNION SELECT origin, dst, d + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM normal) ON src = place WHERE d < 4 AND NOT starts_with(place, 'table:'))
+SELECT origin AS "start", (min(d) + 1)::BIGINT AS n FROM walk WHERE d > 0 AND starts_with(place, 'table:') GROUP BY origin""")
 def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = graph.shortest_paths_to_tables(*_normal(spark, sf_dir), max_hops=4)
     return paths.select("start", F.size("path").cast("bigint").alias("n"))
