@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def fuzzy_score(query: Column, target: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("score"), F.lit(True).alias("ok"))
 
     def step(s: Column, ch: Column) -> Column:
-        p = F.locate(ch, t, s["at"] + 1) if isinstance(ch, str) else F.call_function("locate", ch, t, s["at"] + 1)
+        p = F.call_function("locate", ch, t, s["at"] + 1)
         ok = s["ok"] & (p > 0)
         follows = (s["at"] > 0) & (p == s["at"] + 1)
         run = F.when(follows, s["run"] + 1).otherwise(0)
@@ -27,12 +28,19 @@ def fuzzy_score(query: Column, target: Column) -> Column:
     return F.when((q != "") & (t != "") & end["ok"], score)
 
 
-def fuzzy_search(nodes: DataFrame, queries: DataFrame, k: int = 8, columns: Sequence[str] = ("label", "id", "layer", "table"), keys: Sequence[str] = ()) -> DataFrame:
+def fuzzy_search(nodes: DataFrame, queries: DataFrame, k: int = 8, columns: Sequence[str] = ("label", "id", "layer", "table"), keys: Sequence[str] = (), block: int = 1000) -> DataFrame:
     """(query, rank, id, score): for each query (query, and ``keys`` if nodes have any) the k best nodes, ties by ord and id.
 
-    Every node is scored against every query of its graph: queries are what a user types, and are broadcast.
+    Every node is scored against every query of its graph. Queries are what users type: they are broadcast in blocks of about
+    ``block``, and each block keeps its own k best.
     """
-    pairs = nodes.join(F.broadcast(queries), list(keys)) if keys else nodes.crossJoin(F.broadcast(queries))
+    n = max(1, -(-queries.count() // block))
+    blocks = [queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i) for i in range(n)]
+    return reduce(DataFrame.unionByName, [_best(nodes, b, k, columns, keys) for b in blocks])
+
+
+def _best(nodes: DataFrame, queries: DataFrame, k: int, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    pairs = nodes.join(F.broadcast(queries), list(keys)) if keys else nodes.join(F.broadcast(queries))
     q = F.trim("query")
     scores = [fuzzy_score(q, F.col(c)) for c in columns if c in nodes.columns]
     best = scores[0] if len(scores) == 1 else F.greatest(*scores)
