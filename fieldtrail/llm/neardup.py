@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrail.llm.common import WordHashes, mix, rolling, stage, unstage, with_maybe
@@ -127,11 +127,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     return x.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def _lonely(texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(id): texts with more than 1 - threshold of their weight in shingles that none of the other texts has.
-
-    The similarity is at most the share of a text's weight in common shingles, so these have no partner among ``texts``.
-    """
+def _extents(texts: DataFrame, size: int) -> DataFrame:
+    """(id, weight, extra, common) of each text: its shingles with repeats, the repeats alone, and how many different ones any other of the texts has."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +136,24 @@ def _lonely(texts: DataFrame, threshold: float, size: int) -> DataFrame:
             for i, text in enumerate(batch.column("text").to_pylist()):
                 codes, counts = shingles(text, size)
                 at = pa.array(np.full(len(codes), i), pa.int64())
-                share = counts / max(1, counts.sum())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(codes.view(np.int64)), pa.array(share)], ["id", "code", "share"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], ["id", "code", "n"])
+
+    rows = texts.select("id", "text").mapInArrow(run, f"id {kind}, code long, n long")
+    own = rows.groupBy("code").agg(F.count("*").alias("texts"), F.min("id").alias("id")).where("texts = 1").groupBy("id").agg(F.count("*").alias("own"))
+    whole = rows.groupBy("id").agg(F.sum("n").alias("weight"), F.count("*").alias("kinds"))
+    return whole.join(own, "id", "left").select("id", "weight", (F.col("weight") - F.col("kinds")).alias("extra"), (F.col("kinds") - F.coalesce("own", F.lit(0))).alias("common"))
 
-    rows = texts.select("id", "text").mapInArrow(run, f"id {kind}, code long, share double")
-    own = rows.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("share").alias("share")).where("n = 1")
-    return own.groupBy("id").agg(F.sum("share").alias("own")).where(F.col("own") > 1 - threshold + 1e-9).select("id")
+
+def _may_reach(threshold: float) -> Column:
+    """Whether two texts can be as similar as ``threshold``, from their extents (u_, v_).
+
+    At most as many different shingles are shared as either has in common with any text; with all repeats they weigh a share s and
+    t of the two texts, and the probability Jaccard similarity is at most 1 / (1/s + 1/t - 1): each of its terms is at most
+    1 / (1/x + (1 - t)/y) for normalised weights x and y, which is concave, so the sum is largest for equal parts.
+    """
+    shared = F.least("u_common", "v_common")
+    part = lambda k: F.least(F.lit(1.0), (shared + F.col(f"{k}_extra")) / F.col(f"{k}_weight"))
+    return (shared > 0) & (1 / part("u") + 1 / part("v") - 1 <= 1 / threshold + 1e-9)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 5, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,8 +161,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
 
     Texts of equal words are one node, its least id; only nodes are compared. In each bucket of a band the least
     node is compared with the others. If that leaves a bucket in several components, the nodes outside the largest are
-    compared with all nodes of other components there, so no candidate link between components is left out; but for those
-    that cannot be similar to any of them, for too much of their weight lies in shingles that no other node has. A text
+    compared with all nodes of other components there, so no candidate link between components is left out; but for pairs
+    that cannot be similar, for too much of their weight lies in shingles that no other node has. A text
     without a word is a class of its own, also when null; a null id has a null class; repeated rows repeat.
 
     Shuffled: ids, keys and bands; texts once, of those in some candidate pair again for the comparison.
@@ -176,16 +185,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = stage(parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.component").alias("main")))
     inside = stage(placed.join(split, "bucket"))
-    lonely = stage(_lonely(texts.join(inside.select("id").distinct(), "id", "left_semi"), threshold, size))
-    outsider = inside.where("component <> main").join(lonely, "id", "left_anti").select("bucket", F.col("id").alias("u"), F.col("component").alias("cu"))
-    other = inside.select("bucket", F.col("id").alias("v"), F.col("component").alias("cv"))
-    more = outsider.join(other, "bucket").where("cu <> cv").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    extents = stage(_extents(texts.join(inside.select("id").distinct(), "id", "left_semi"), size))
+    inside = stage(inside.join(extents, "id"))
+    side = lambda k: ["bucket", *[F.col(c).alias(f"{k}_{c}") for c in ("id", "component", "weight", "extra", "common")]]
+    outsider, other = inside.where("component <> main").select(*side("u")), inside.select(*side("v"))
+    met = outsider.join(other, (outsider["bucket"] == other["bucket"]) & (F.col("u_component") != F.col("v_component")) & _may_reach(threshold))
+    more = met.select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b")).distinct()
     more = stage(more.join(pairs, ["a", "b"], "left_anti"))
     found = stage(_similar(more, texts, threshold, size))
     if not found.isEmpty():
         unstage(member)
         member = components(links.unionByName(found))
-    unstage(placed, split, inside, lonely, wanted, more, pairs, texts, shared, links, found)
+    unstage(placed, split, inside, extents, wanted, more, pairs, texts, shared, links, found)
     known = keyed.select("id", "key").join(first, "key").join(member.withColumnRenamed("node", "first"), "first", "left")
     known = known.select("id", F.coalesce("component", "first").alias("class_id"))
     rest = sig.where("key IS NULL OR id IS NULL").select("id", F.col("id").alias("class_id"))

@@ -167,10 +167,19 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and kept.columns == frame(spark, []).columns
 
 
-def test_lonely_texts_have_no_partner(spark):
-    shared = " ".join(f"a{i}" for i in range(40))
-    docs = spark.createDataFrame([(1, shared), (2, shared + " b"), (3, shared + " " + " ".join(f"c{i}" for i in range(30)))], "id long, text string")
-    assert [r["id"] for r in neardup._lonely(docs, 0.8, 5).collect()] == [3]
+def test_pairs_left_out_are_not_similar(spark):
+    """The bound on the similarity holds for random multisets."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(8)
+    texts = [" ".join(f"a{rnd.randrange(12)}" if rnd.random() < 0.3 else f"a{k}" for k in range(rnd.randrange(10, 40))) + f" p{i}" * rnd.randrange(1, 6) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    e = neardup._extents(docs, 5)
+    side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("id", "weight", "extra", "common")]
+    pairs = e.select(*side("u")).crossJoin(e.select(*side("v"))).where("u_id < v_id")
+    for threshold in (0.3, 0.6, 0.8):
+        for r in pairs.where(~neardup._may_reach(threshold)).select("u_id", "v_id").collect():
+            assert neardup.probability_jaccard(neardup.shingles(texts[r["u_id"]]), neardup.shingles(texts[r["v_id"]])) < threshold
 
 
 def plain_tiles(item, text, least):
