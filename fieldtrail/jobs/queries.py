@@ -350,11 +350,16 @@ def fuzzy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Generated code ----
 
 
+def _java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated services, dealt out so that parsing them is not one task."""
+    return A.java_files(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "repo", "path")
+
+
 @query("WITH " + CODEGEN_SQL + """
 SELECT 'n' || s_nationkey AS repo, 'Svc' || l_suppkey || '.findPart' || l_partkey AS qual, (6 + 6 * (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1) - 1)::BIGINT AS start_line,
   (10 + 6 * (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1))::BIGINT AS end_line, 'partNo=String,rows=List<Map<String,Item>>' AS params, 'dao.loadPart' || l_partkey % 10 AS call FROM lines""")
 def extracted_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = symbols.extract_symbols(A.java_files(spark, sf_dir))
+    s = symbols.extract_symbols(_java(spark, sf_dir), checkpoint=True)
     params = F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), F.regexp_replace(e["value"], r"\s", "")))), ",")
     calls = s["calls"].select("repo", F.col("caller_qual").alias("qual"), F.concat_ws(".", "receiver", "callee_name").alias("call"))
     methods = s["methods"].select("repo", "qual", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), params.alias("params"))
@@ -363,7 +368,7 @@ def extracted_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT 'n' || s_nationkey AS repo, 'Svc' || l_suppkey AS cls, 'dao' AS name, 'Dao' AS type, 'BaseMapper<Entity' || l_suppkey || '>' AS parent, 'Entity' || l_suppkey AS entity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def extracted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = symbols.extract_symbols(A.java_files(spark, sf_dir))
+    s = symbols.extract_symbols(_java(spark, sf_dir), checkpoint=True)
     both = s["fields"].select("repo", "cls", "name", "type").join(s["inheritance"].select("repo", "cls", "parent"), ["repo", "cls"])
     return both.join(orm.dao_entities(s["inheritance"]), ["repo", "cls"])
 
@@ -383,7 +388,7 @@ def detected_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + CODEGEN_SQL + " SELECT 'Svc' || l_suppkey || '.findPart' || l_partkey AS qual, '  @Transactional(timeout = 5)' || chr(10) || '  public Order findPart' || l_partkey || '…' AS source FROM lines")
 def method_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut after a number of characters that falls inside the parameters; what stands there is taken out again for comparison."""
-    files = A.java_files(spark, sf_dir)
+    files = _java(spark, sf_dir)
     methods = symbols.extract_symbols(files)["methods"].select("repo", "file", "qual", F.col("start_line").alias("line"), "end_line")
     return reports.method_source(methods, files, 80).select("qual", F.regexp_replace("source", r"\([A-Z][^…]*", "").alias("source"))
 
@@ -454,7 +459,7 @@ def raw_sql_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job over generated services: usages of ``partNo``, their call chains, tables and sizes by repo."""
-    out = run_profile(A.java_files(spark, sf_dir), spark.createDataFrame([("partNo",)], "keyword string"), PROFILES["java-spring"])
+    out = run_profile(_java(spark, sf_dir), spark.createDataFrame([("partNo",)], "keyword string"), PROFILES["java-spring"])
     return out["counts"]
 
 

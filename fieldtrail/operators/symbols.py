@@ -28,14 +28,15 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"start_line": "Int32", "end_line": "Int32"})
 
 
-def extract_symbols(files: DataFrame) -> dict[str, DataFrame]:
+def extract_symbols(files: DataFrame, checkpoint: bool = False) -> dict[str, DataFrame]:
     """methods, fields, inheritance, calls and manifest of the files whose language is known.
 
-    ``ord`` numbers the rows of a file; (file, ord) stands for the order in which files are read. The texts are read once:
-    cache or write the tables before using several of them.
+    ``ord`` numbers the rows of a file; (file, ord) stands for the order in which files are read. With ``checkpoint`` the texts
+    are parsed once for all tables; without it each table that is used parses them.
     """
     known = files.filter(F.col("ext").isin(*EXTRACTORS)).select("repo", "path", "ext", "text")
     raw = known.mapInPandas(_extract, _RAW)
+    raw = raw.checkpoint() if checkpoint else raw
     kind = lambda k: raw.filter(F.col("kind") == k)
     return {
         "methods": kind("method").select("repo", "file", "ord", "qual", "name", "cls", "start_line", "end_line", "params"),
@@ -58,7 +59,7 @@ def diff_manifest(files: DataFrame, manifest: DataFrame, same_version: bool = Tr
 def refresh_symbols(files: DataFrame, symbols: dict[str, DataFrame], same_version: bool = True) -> dict[str, DataFrame]:
     """Symbol tables of ``files``: those of unchanged files are taken over, others extracted anew."""
     parts = diff_manifest(files, symbols["manifest"], same_version)
-    fresh = extract_symbols(parts["changed"])
+    fresh = extract_symbols(parts["changed"], checkpoint=True)
     keep = parts["unchanged"].select("repo", F.col("path").alias("file"))
     return {k: symbols[k].join(keep, ["repo", "file"], "left_semi").unionByName(fresh[k]) for k in fresh}
 
