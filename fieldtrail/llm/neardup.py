@@ -35,8 +35,11 @@ def shingles(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
 def signature(codes: np.ndarray, weights: np.ndarray, registers: int = 100) -> np.ndarray:
     """ProbMinHash: for each register the element whose arrival is the earliest there.
 
-    Elements' arrivals are made a few at a time; an element ends when its last arrival is later than every register's.
+    Elements' arrivals are made a few at a time; an element ends when its last arrival is later than every register's. Eleven bits
+    of an arrival's hash choose its register, so there are at most 2048.
     """
+    if not 0 < registers <= 2048:
+        raise ValueError("a signature has 1 to 2048 registers")
     winner = np.zeros(registers, np.uint64)
     earliest = np.full(registers, np.inf)
     live, rate, clock = codes, weights.astype(np.float64), np.zeros(len(codes))
