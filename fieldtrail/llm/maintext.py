@@ -25,8 +25,8 @@ CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup", "legend", "sum
 SELF_CLOSING = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 
 #: Elements, roles and words of class or id that speak for or against content. Fixed values.
-BAD_TAGS = frozenset("nav aside footer form button select menu dialog label fieldset".split())
-BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog toolbar".split())
+BAD_TAGS = frozenset("nav aside footer button select menu dialog label fieldset".split())
+BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar alertdialog toolbar".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars "
@@ -37,7 +37,7 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article content post entry story main body text hentry".split())
 
 #: Weights of the classifier: a positive sum speaks for content.
-WEIGHTS = {"bias": 0.0, "article": 3.0, "outside": -3.5, "bad": -14.0, "good": 1.2, "length": 0.5, "links": -4.0, "sentence": 1.0, "heading": 1.0, "item": -0.4}
+WEIGHTS = {"bias": 0.0, "article": 3.0, "outside": -3.5, "bad": -14.0, "marked": -8.0, "good": 1.2, "length": 0.5, "links": -4.0, "sentence": 1.0, "heading": 1.0, "item": -0.4}
 ADJACENT, SIBLING = 0.5, 0.3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -55,34 +55,72 @@ class Block:
     article: bool
     bad: bool
     good: bool
+    marks: tuple[str, ...] = ()  # forms, and classes or ids with a bad word, around it
+    inner: str = ""  # the innermost of article and main around it
 
 
-def _hints(tag: str, raw: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether the element speaks against and for content."""
+@dataclass
+class Element:
+    tag: str
+    number: int = 0
+    article: bool = False
+    bad: bool = False
+    good: bool = False
+    marks: tuple[str, ...] = ()
+    inner: str = ""
+
+
+def _hints(tag: str, raw: str, in_article: bool) -> tuple[bool, str, bool, str]:
+    """Whether the element speaks against content, its mark (a form, or a class or id with a bad word), whether it
+    speaks for content, and the article or main that it states to be."""
     bad, good = tag in BAD_TAGS or (tag == "header" and not in_article), tag in GOOD_TAGS
+    mark, stated = "form" if tag == "form" else "", tag if good else ""
     if raw and "=" in raw or "hidden" in raw:
         for m in _ATTRIBUTE.finditer(raw):
             name = m[1].lower()
             value = m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 words = {w.lower() for w in _SPLIT_WORDS.split(value)} | set(value.lower().split())
-                # class words do not outweigh an element that states what it is
-                if not good and tag not in ("body", "html") and words & BAD_WORDS:
-                    bad = True
+                if tag not in ("body", "html") and words & BAD_WORDS:
+                    mark = f"{tag} {value}"
                 elif words & GOOD_WORDS:
                     good = True
             elif name == "role":
-                bad, good = bad or value.lower() in BAD_ROLES, good or value.lower() in ("main", "article")
+                role = value.lower()
+                bad, good = bad or role in BAD_ROLES, good or role in GOOD_TAGS
+                mark, stated = mark or "form" * (role == "form"), stated or role * (role in GOOD_TAGS)
             elif (name == "hidden") or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
                 bad = True
-    return bad, good
+    # class words do not outweigh an element that states what it is
+    return bad, "" if stated else mark, good, stated
+
+
+def _wrappers(page: list[Block], stated: list[tuple[str, str, tuple[str, ...]]]) -> set[str]:
+    """Marks of what only wraps the content: those around main and the first of its least marked articles, or, on a page
+    with neither, forms and marks around elements of good words that hold more than half of the text."""
+
+    def size(inner: str, marks: tuple[str, ...]) -> int:
+        return sum(len(b.text) - b.links for b in page if not b.bad and b.inner == inner and b.marks == marks)
+
+    main = next((marks for kind, _, marks in stated if kind == "main"), None)
+    article = min((marks for kind, within, marks in stated if kind == "article" and (main is None or within == "main")), key=len, default=None)
+    if main is None and article is None:
+        seen = [b for b in page if not b.bad]
+        around = {k: sum(len(b.text) for b in seen if k in b.marks) for k in {k for b in seen for k in b.marks if k == "form" or b.good}}
+        return {k for k, n in around.items() if 2 * n > sum(len(b.text) for b in seen)}
+    out = set(main or ())
+    # a main with more text of its own is the content; its marked articles are teasers or comments
+    if article is not None and (main is None or size("article", article) > size("main", main)):
+        out |= set(article)
+    return out
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order; text in the head, scripts, styles and comments is none."""
     out: list[Block] = []
-    # open elements: tag, number, article, bad, good
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    stack = [Element("")]
+    # articles and mains: what each is, the main around it, its marks
+    stated: list[tuple[str, str, tuple[str, ...]]] = []
     parts: list[str] = []
     links, in_link, count, at, skip_head = 0, 0, 0, 0, False
 
@@ -91,16 +129,16 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                holder = next((x for x in reversed(stack) if x[0] in BLOCK), stack[0])
-                out.append(Block(text, min(links, len(text)), holder[0], stack[-2][1] if len(stack) > 1 and stack[-1] is holder else holder[1], holder[2], stack[-1][3], stack[-1][4]))
+                holder = next((x for x in reversed(stack) if x.tag in BLOCK), stack[0])
+                out.append(Block(text, min(links, len(text)), holder.tag, stack[-2].number if len(stack) > 1 and stack[-1] is holder else holder.number, holder.article, stack[-1].bad, stack[-1].good, stack[-1].marks, stack[-1].inner))
             parts.clear()
         links = 0
 
     def close(k: int) -> None:
         nonlocal in_link, skip_head
         for x in stack[k:]:
-            in_link -= x[0] == "a"
-            skip_head = skip_head and x[0] != "head"
+            in_link -= x.tag == "a"
+            skip_head = skip_head and x.tag != "head"
         del stack[k:]
 
     def add(text: str) -> None:
@@ -121,7 +159,7 @@ def blocks(html: str) -> list[Block]:
         raw = m[3] or m[6] or ""
         if m[1] or m[4]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     if tag in BLOCK:
                         flush()
                     close(k)
@@ -138,17 +176,17 @@ def blocks(html: str) -> list[Block]:
             flush()
             if tag in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
+                    if stack[k].tag == "p":
                         close(k)
                         break
-                    if stack[k][0] in BLOCK:
+                    if stack[k].tag in BLOCK:
                         break
             if tag in SELF_CLOSING:
                 same, stop = SELF_CLOSING[tag]
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in stop:
+                    if stack[k].tag in stop:
                         break
-                    if stack[k][0] in same.split():
+                    if stack[k].tag in same.split():
                         close(k)
                         break
             if tag == "head":
@@ -162,24 +200,30 @@ def blocks(html: str) -> list[Block]:
         if raw.endswith("/") and tag not in BLOCK:
             continue
         top = stack[-1]
-        bad, good = _hints(tag, raw, top[2])
+        bad, mark, good, kind = _hints(tag, raw, top.article)
         count += 1
-        article = top[2] or (good and tag in GOOD_TAGS) or "role" in raw and good and not bad
-        stack.append((tag, count, article, top[3] or bad, top[4] or good))
+        article = top.article or (good and tag in GOOD_TAGS) or "role" in raw and good and not bad and not mark
+        if kind and not (top.bad or bad) and top.inner != "article":
+            stated.append((kind, top.inner, top.marks))
+        stack.append(Element(tag, count, article, top.bad or bad, top.good or good, (*top.marks, mark) if mark else top.marks, top.inner if top.inner == "article" else kind or top.inner))
         in_link += tag == "a"
     flush()
+    if any(b.marks for b in out):
+        wraps = _wrappers(out, stated)
+        for b in out:
+            b.marks = tuple(k for k in b.marks if k not in wraps)
     return out
 
 
 def costs(page: list[Block], weights: dict[str, float] = WEIGHTS) -> list[float]:
     """The classifier's sum for each block: above 0 for content."""
-    has_article = any(b.article and not b.bad for b in page)
+    has_article = any(b.article and not b.bad and not b.marks for b in page)
     out = []
     for b in page:
         n, w = len(b.text), weights
         z = w["bias"] + w["length"] * min(4.0, math.log1p(n / 20)) + w["links"] * b.links / n
         z += w["sentence"] * (b.text[-1] in ".!?:;…\"”»" and n > 20)
-        z += w["bad"] * b.bad + w["good"] * b.good + (w["article"] if b.article else w["outside"] * has_article)
+        z += (w["bad"] if b.bad else w["marked"] * bool(b.marks)) + w["good"] * b.good + (w["article"] if b.article else w["outside"] * has_article)
         z += w["heading"] * (b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")) + w["item"] * (b.tag == "li")
         out.append(z)
     return out

@@ -228,6 +228,36 @@ def test_main_text(spark):
     assert got[:2] == [(1, want, len(want))] * 2 and got[2:4] == [(2, "", 0), (3, "", 0)] and got[4][1] == "x < y &lt; z b"
 
 
+STORY = "<h1>A day</h1><p>It was a long day in the town, and nobody came to see it end.</p><p>Then it was night, and they all slept.</p>"
+STORY_TEXT = "A day\n\nIt was a long day in the town, and nobody came to see it end.\n\nThen it was night, and they all slept."
+COMMENTS = '<section id="comments"><article class="comment"><p>' + "What a story this is, I would read it again and again. " * 8 + "</p></article></section>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<div class="layout with-sidebar"><article>{STORY}</article><div class="sidebar"><p>Popular posts are here to read now.</p></div></div>',
+        f'<div class="page has-comments"><main>{STORY}</main>{COMMENTS}</div>',
+        f'<div id="no-ads"><div class="x with-sidebar"><div role="main">{STORY}<div class="ad">Buy this today, it is cheap.</div></div></div></div>',
+        f'<form id="f"><nav>Home</nav><article>{STORY}</article><footer>(c) us</footer></form>',
+        f'<h1>Site</h1><form><div id="content">{STORY}</div><label>Mail</label></form>'.replace("<h1>Site</h1>", "<header>Site</header>"),
+        f'<main><nav>Home</nav><div class="layout with-sidebar"><article>{STORY}</article></div><div class="comment-area">{COMMENTS}</div></main>',
+        f'<div class="with-sidebar" role="main">{STORY}</div>',
+        f'<article>{STORY}{COMMENTS}</article><aside><article><p>Another story that is told elsewhere, at length.</p></article></aside>',
+        f'<div class="no-ads" hidden><article><p>Not to be seen by anybody at all, ever.</p></article></div><article>{STORY}</article>',
+    ],
+)
+def test_wrappers_do_not_hide_the_text(html):
+    assert maintext.main_text(f"<body>{html}</body>")[0] == STORY_TEXT
+
+
+def test_neighbours_overturn_a_mark():
+    note = "The notice that was read out in the town that day was as long as all the others were, and it said " + "that nobody would come, " * 20 + "ever."
+    html = f'<article class="post-content"><p>{note}</p><p class="notice">{note}</p><p>{note}</p></article>'
+    page = maintext.blocks(html)
+    assert maintext.costs(page)[1] < 0 and maintext.label(page) == [True] * 3
+
+
 def test_articles_of_all_pages(spark):
     """Every page's article, by cutting it out between its tags."""
     import html
