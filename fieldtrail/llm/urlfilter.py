@@ -1,6 +1,6 @@
 """URL filter with redirect equivalence: block decisions spread over aliases of a page.
 
-Aliases are URLs joined by redirect (meta refresh) and canonical-link edges, and URLs that differ only in
+Aliases are URLs joined by redirect (meta refresh) and canonical-link edges (a page can have both; relative ones count), and URLs that differ only in
 what servers redirect away: scheme, leading www. or m., default port, fragment, tracking parameters, a
 closing slash, .html. Explicit rules come first, the longest; others take over their component's decision,
 where an allowed member has precedence over a blocked one; a component without a decision is allowed.
@@ -9,6 +9,7 @@ where an allowed member has precedence over a blocked one; a component without a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -60,14 +61,68 @@ def alias_key(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")).contains("://"), F.concat_ws("", host, path, F.when(query != "", F.concat(F.lit("?"), query))))
 
 
-def linked_url(html: Column) -> Column:
-    """The target of a page's meta refresh, else of its canonical link; null if none is absolute."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written and worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_PARTS = r"(?s)^(.*?://[^/?#]*)([^?#]*)(\??[^#]*)"
+
+
+def _walk(url: Column) -> Column:
+    """The address without steps ``.`` and ``..`` in its path."""
+    steps = F.split(F.regexp_extract(url, _PARTS, 2), "/")
+
+    def walked(steps: Column) -> Column:
+        return F.aggregate(
+            F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))),
+            F.array().cast("array<string>"),
+            lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+            lambda done: F.concat(F.lit("/"), F.array_join(done, "/"), F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(done) > 0), "/").otherwise("")),
+        )
+
+    flat = F.concat(F.regexp_extract(url, _PARTS, 1), _let(steps, walked), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1))
+    return F.when(url.rlike(r"(?s)^[^?#]*/\.\.?(/|[?#]|$)"), flat).otherwise(url)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """``target`` as an address seen from the address ``base``; null if it is null or no address of a page."""
+
+    def join(b: Column) -> Column:
+        root, path = b["root"], b["path"]
+        return (
+            F.when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), target)
+            .when((root == "") | target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(target.startswith("//"), F.concat(F.regexp_extract(root, r"^(.*?:)//", 1), target))
+            .when(target.startswith("/"), F.concat(root, target))
+            .when((target == "") | target.startswith("#"), F.concat(root, path, b["query"]))
+            .when(target.startswith("?"), F.concat(root, path, target))
+            .otherwise(F.concat(root, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), target))
+        )
+
+    base = F.coalesce(base, F.lit(""))
+    parts = F.struct(*[F.regexp_extract(base, _PARTS, k).alias(name) for k, name in ((1, "root"), (2, "path"), (3, "query"))])
+    return _let(_let(parts, join), _walk)
+
+
+def linked_urls(url: Column, html: Column) -> Column:
+    """The targets of a page's meta refresh and of its canonical link, seen from its base (its url without one); null
+    without such a link, and a null for each target that is no address of a page."""
     html = F.coalesce(html, F.lit(""))
-    tag = {"canonical": F.regexp_extract(html, r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), "refresh": F.regexp_extract(html, r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)}
-    canonical = F.regexp_extract(tag["canonical"], r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(tag["refresh"], r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-    target = F.regexp_replace(F.when(refresh != "", refresh).otherwise(canonical), "&amp;", "&")
-    return F.when(target.contains("://"), target)
+
+    def value(tag: str, attribute: str) -> Column:
+        found = F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1)
+        return F.regexp_replace(found, "&amp;", "&")
+
+    href = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+    refresh = value(r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)")
+    canonical = value(r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>", href)
+    own_base = _let(value(r"(?is)<base\b[^>]*>", href), lambda x: F.when(x != "", resolve(url, x)))
+
+    def targets(links: Column) -> Column:
+        return F.when(F.size(links) > 0, _let(F.coalesce(own_base, url), lambda base: F.transform(links, lambda x: resolve(base, x))))
+
+    return _let(F.filter(F.array(refresh, canonical), lambda x: x != ""), targets)
 
 
 def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -87,11 +142,11 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id",
         if r.verdict not in ("allow", "block") or re.search(r"[/?#]", r.host):
             raise ValueError(f"not a rule: {r}")
     host, path = host_and_path(F.col(url_col))
-    target = alias_key(linked_url(F.col(html_col))) if html_col else F.lit(None).cast("string")
-    rows = stage(pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), best_rule(host, path, rules).alias("fit"), alias_key(F.col(url_col)).alias("key"), target.alias("target")))
+    targets = F.transform(linked_urls(F.col(url_col), F.col(html_col)), alias_key) if html_col else F.lit(None).cast("array<string>")
+    rows = stage(pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), best_rule(host, path, rules).alias("fit"), alias_key(F.col(url_col)).alias("key"), targets.alias("targets")))
     verdict = F.col("fit.verdict")
     keys = rows.where("key IS NOT NULL").groupBy("key").agg(F.max((verdict == "allow").cast("int")).alias("allowed"), F.max((verdict == "block").cast("int")).alias("blocked"))
-    links = rows.where("key IS NOT NULL AND target IS NOT NULL").select(F.col("key").alias("a"), F.col("target").alias("b"))
+    links = rows.where("key IS NOT NULL").select(F.col("key").alias("a"), F.explode("targets").alias("b")).where("b IS NOT NULL")
     member = components(links)
     keys = keys.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("alias", F.coalesce("component", "key"))
     keys = stage(keys.select("key", "alias", F.coalesce("allowed", F.lit(0)).alias("allowed"), F.coalesce("blocked", F.lit(0)).alias("blocked")))

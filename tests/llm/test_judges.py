@@ -197,6 +197,44 @@ def test_url_rules_and_aliases(spark):
     assert got[1]["host"] == "sub.example.com" and got[9]["host"] == got[10]["path"] == "" and got[15]["alias"] == got[16]["alias"] == "x.org/a?a=0&b=1"
 
 
+def test_targets_are_resolved_as_by_urllib(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.org/x/y.html?q=1#f", "http://a.org", "http://a.org/x/"]
+    targets = ["/en/x", "//host/x", "z", "../z?b=2", "./../../z/.", "?c=3", "http://h.com/a/b", "sub/../k#t", "..", ".", "/a/./b/..", "x/..?d=..", "mailto:me", "#t", "/a?u=http://b.com/.."]
+    rows = [(b, t) for b in bases for t in targets]
+    got = spark.createDataFrame(rows, "b string, t string").select("b", "t", urlfilter.resolve(F.col("b"), F.col("t")).alias("u")).collect()
+    for r in got:
+        want = urljoin(r["b"], r["t"]).split("#")[0] if r["t"] != "mailto:me" else None
+        assert (r["u"].split("#")[0] if r["u"] else None) == want, r
+    odd = spark.createDataFrame([(None, "/x"), ("no address", "/x"), ("http://a.org", None), (None, "http://h/x")], "b string, t string")
+    assert [r[0] for r in odd.select(urlfilter.resolve(F.col("b"), F.col("t"))).collect()] == [None, None, None, "http://h/x"]
+
+
+def test_all_forms_of_links_join_pages(spark):
+    def refresh(u):
+        return f'<meta http-equiv="refresh" content="0; url={u}">'
+
+    def canonical(u):
+        return f"<link rel='canonical' href='{u}'>"
+
+    rules = [urlfilter.Rule("bad.org", "/", "block")]
+    pages = [
+        (1, "http://bad.org/home", ""),
+        (2, "http://one.org/a", refresh("http://two.org/x") + canonical("http://bad.org/home")),  # both edges count
+        (3, "http://two.org/x", ""),
+        (4, "http://three.org/s/a", refresh("/en/x")), (5, "http://three.org/en/x", canonical("http://bad.org/home")),
+        (6, "https://four.org/a", canonical("//bad.org/home?utm_x=1")),
+        (7, "http://five.org/d/a", refresh("b?p=1") + canonical("http://bad.org/home")), (8, "http://five.org/d/b?p=1", None),
+        (9, "http://six.org/d/a", refresh("../k")), (10, "http://six.org/k", refresh("//bad.org/home")),
+        (11, "http://seven.org/a", '<base href="//bad.org/"><p>' + canonical("home")),
+        (12, "http://free.org/a", refresh("/b") + canonical("mailto:x@bad.org")), (13, "http://free.org/b", ""), (14, None, canonical("/home")),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["alias"]) for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert len(got) == 14 and {k for k, v in got.items() if v[0] == "block"} == set(range(1, 12))
+    assert got[12][1] == got[13][1] == "free.org/a" and got[14] == ("allow", None)
+
+
 def plain_cut(terminal, edges):
     """The least cost over all labellings."""
     n = len(terminal)
