@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtrail.llm import decontaminate, langid, neardup, packing, substring
+from fieldtrail.llm.common import stage as written
 from fieldtrail.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language (null, or no letter)."""
+    """Drop texts that no learned language codes acceptably, and those that are null or have no letter."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
@@ -43,9 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written and read back, so that all later reads see the same rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = written(stage(spark, docs, sf_dir))
     return docs
 
 

@@ -7,6 +7,7 @@ depends on its last three bytes alone: a text's code length is a sum of table lo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ from fieldtrail.llm.common import sampled
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 ORDER = 3
 UNKNOWN = "und"
+#: Bits by which letter frequencies may beat a text's language before it is rejected: chance has that in 2^-10 of texts of the language.
+SLACK_BITS = 10.0
+_DIGIT = re.compile(r"\d")
 
 
 def letters_only(text: str) -> bytes:
@@ -141,6 +145,39 @@ class PpmModel:
             decide()
         return langs, scores
 
+    def accepts(self, texts: list[str | None]) -> list[bool]:
+        """Whether a learned language codes the text acceptably: no worse than its letters' frequencies alone do.
+
+        Words with digits (numbers, keys) are no words of a language, and are looked at only in texts of nothing
+        else. Null and texts without a letter are rejected; without a language all texts with a letter are accepted.
+        """
+        out = [text is not None and any(map(str.isalpha, text)) for text in texts]
+        if not self.langs:
+            return out
+        some: list[int] = []
+        data: list[np.ndarray] = []
+        size = 0
+
+        def decide() -> None:
+            starts = np.cumsum([0, *map(len, data[:-1])])
+            codes = np.concatenate(data)
+            best, plain = (np.add.reduceat(bits, starts, axis=0, dtype=np.float64).min(axis=1) for bits in (self.costs(codes), self.costs(codes & np.uint32(255), 0)))
+            for i, ok in zip(some, best <= plain + SLACK_BITS, strict=True):
+                out[i] = bool(ok)
+
+        for i, text in enumerate(texts):
+            if out[i]:
+                words = letters_only(" ".join(w for w in text.split() if not _DIGIT.search(w)))
+                some.append(i)
+                data.append(grams((words or letters_only(text)) + b" "))
+                size += len(data[-1])
+                if size > 300_000:
+                    decide()
+                    some, data, size = [], [], 0
+        if some:
+            decide()
+        return out
+
 
 def fit(train: DataFrame, id_col: str = "doc_id", docs_per_lang: int = 600, max_nodes: int = 600_000) -> PpmModel:
     """Fit on about ``docs_per_lang`` whole texts of each language, chosen by a hash of the id.
@@ -192,12 +229,11 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFr
 
 
 def keep_known(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language; texts that are null or without a letter go."""
+    """The rows of ``docs`` whose text a language of the model codes acceptably; texts that are null or without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, _ = shared.value.predict(batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            yield batch.filter(pa.array(shared.value.accepts(batch.column(text_col).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
