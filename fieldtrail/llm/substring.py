@@ -1,9 +1,10 @@
-"""Substring dedup by Relative Lempel-Ziv parsing.
+"""Substring dedup by anchored block and window hashing, in place of Relative Lempel-Ziv parsing.
 
-Every text is factored against all texts with smaller ids. The reference is indexed by anchors: the least hash of the
+Every text is compared with all texts with smaller ids. They are indexed by anchors: the least hash of the
 short word runs in a window (winnowing), so two equal windows have the same anchor. Blocks, the stretches of windows with one
-anchor, are matched whole against the first text that holds the same block: a greedy long factor. What a factor leaves
-at its boundaries, and blocks seen for the first time, is matched window by window. Factors merge into duplicate spans.
+anchor, are matched whole against the first text that holds the same block. What blocks leave
+at their boundaries, and blocks seen for the first time, is matched window by window. Matches merge into duplicate spans.
+No match is extended beyond its block as a greedy parse would do.
 """
 
 from __future__ import annotations
