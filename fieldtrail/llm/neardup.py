@@ -130,8 +130,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     return x.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def _extents(texts: DataFrame, size: int) -> DataFrame:
-    """(id, weight, extra, common) of each text: its shingles with repeats, the repeats alone, and how many different ones any other of the texts has."""
+def _shingle_rows(texts: DataFrame, size: int) -> DataFrame:
+    """(id, code, n) of each text: its different shingles and how often they stand there."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,34 +141,138 @@ def _extents(texts: DataFrame, size: int) -> DataFrame:
                 at = pa.array(np.full(len(codes), i), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], ["id", "code", "n"])
 
-    rows = texts.select("id", "text").mapInArrow(run, f"id {kind}, code long, n long")
-    own = rows.groupBy("code").agg(F.count("*").alias("texts"), F.min("id").alias("id")).where("texts = 1").groupBy("id").agg(F.count("*").alias("own"))
-    whole = rows.groupBy("id").agg(F.sum("n").alias("weight"), F.count("*").alias("kinds"))
-    return whole.join(own, "id", "left").select("id", "weight", (F.col("weight") - F.col("kinds")).alias("extra"), (F.col("kinds") - F.coalesce("own", F.lit(0))).alias("common"))
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, code long, n long")
 
 
-def _may_reach(threshold: float) -> Column:
-    """Whether two texts can be as similar as ``threshold``, from their extents (u_, v_).
+def _may_reach(p: Column | np.ndarray, q: Column | np.ndarray, threshold: float) -> Column | np.ndarray:
+    """Whether two texts can be as similar as ``threshold`` if a share p of the one's weight, and q of the other's, lies in shingles that they don't share.
 
-    At most as many different shingles are shared as either has in common with any text; with all repeats they weigh a share s and
-    t of the two texts, and the probability Jaccard similarity is at most 1 / (1/s + 1/t - 1): each of its terms is at most
-    1 / (1/x + (1 - t)/y) for normalised weights x and y, which is concave, so the sum is largest for equal parts.
+    With shared parts s = 1 - p and t = 1 - q, the probability Jaccard similarity is at most 1 / (1/s + 1/t - 1): each of its terms is at
+    most 1 / (1/x + (1 - t)/y) for normalised weights x and y, which is concave, so the sum is largest for equal parts.
     """
-    shared = F.least("u_common", "v_common")
-    part = lambda k: F.least(F.lit(1.0), (shared + F.col(f"{k}_extra")) / F.col(f"{k}_weight"))
-    return (shared > 0) & (1 / part("u") + 1 / part("v") - 1 <= 1 / threshold + 1e-9)
+    s, t = 1 - p, 1 - q
+    return (s > 0) & (t > 0) & (s + t <= (1 + 1 / threshold + 1e-9) * s * t)
+
+
+def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """(cluster, id, weight, feature, a, d): the features of each text by which it must meet similar texts of its cluster.
+
+    ``texts``: cluster, id, weight; kinds: its shingles (docs: texts of the cluster with it, code, n); core: shingles that more than half of the
+    cluster's texts have (docs, code, least: the least count in a text with it); size and heaviest: number and greatest weight of the cluster's texts.
+    A text's features are its shingles outside the core and the core's shingles that it lacks, the rarest first: where two
+    texts differ in few shingles, so do their features. a and d are the weights of both kinds before the feature.
+    Those between two texts' first common feature and its start are not shared, so beyond what _may_reach allows a feature need not be
+    looked at. The row with a null feature has the weights of all features, for texts so near to the core that they may share none.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def lists(column: pa.ListArray) -> list[np.ndarray]:
+        ends = column.offsets.to_numpy()
+        flat = column.values.to_numpy(zero_copy_only=False)
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts = [], []
+            columns = [lists(batch.column(c)) for c in ("docs", "code", "n", "core_docs", "core_code", "core_least")]
+            numbers = [batch.column(c).to_numpy() for c in ("weight", "size", "heaviest")]
+            for i, (docs, code, n, core_docs, core_code, least, weight, size, heaviest) in enumerate(zip(*columns, *numbers, strict=True)):
+                more, less = ~np.isin(code, core_code), ~np.isin(core_code, code)
+                feature = np.concatenate([code[more], core_code[less]])
+                holders = np.concatenate([docs[more], size - core_docs[less]])
+                a = np.concatenate([n[more], np.zeros(less.sum(), np.int64)])
+                d = np.concatenate([np.zeros(more.sum(), np.int64), least[less]])
+                order = np.lexsort((feature, holders))
+                feature, holders, a, d = feature[order], holders[order], a[order], d[order]
+                before_a, before_d = np.concatenate([[0], np.cumsum(a)]), np.concatenate([[0], np.cumsum(d)])
+                use = _may_reach(before_a / weight, before_d / heaviest, threshold)
+                use[:-1] &= holders > 1
+                at = np.flatnonzero(use)
+                rows.append(np.full(len(at), i))
+                parts.append((np.append(feature, 0)[at], at == len(feature), before_a[at], before_d[at]))
+            at = pa.array(np.concatenate(rows), pa.int64())
+            feature, whole, a, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("cluster", "id", "weight")), pa.array(feature.astype(np.int64), mask=whole), pa.array(a), pa.array(d)], ["cluster", "id", "weight", "feature", "a", "d"])
+
+    return texts.mapInArrow(run, f"cluster {kind}, id {kind}, weight long, feature long, a long, d long")
+
+
+def _meeting_places(texts: DataFrame, clusters: DataFrame, threshold: float, size: int, salts: int = 16) -> DataFrame:
+    """_prefixes of the texts (id, text) that are in clusters (id, cluster), and heaviest: the greatest weight in the cluster. Of an id with several texts, the least one."""
+    texts = texts.join(clusters, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    rows = stage(_shingle_rows(texts, size).join(clusters, "id"))
+    weights = rows.groupBy("cluster", "id").agg(F.sum("n").alias("weight"))
+    sizes = stage(weights.groupBy("cluster").agg(F.count("*").alias("size"), F.max("weight").alias("heaviest")))
+    counts = stage(rows.groupBy("cluster", "code").agg(F.count("*").alias("docs"), F.min("n").alias("least")))
+    # a core has at most twice as many shingles as a text of its cluster on average
+    core = counts.join(sizes, "cluster").where("2 * docs > size").groupBy("cluster").agg(F.collect_list(F.struct("docs", "code", "least")).alias("core"))
+    core = sizes.join(core, "cluster", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    held = rows.join(counts, ["cluster", "code"]).groupBy("cluster", "id").agg(F.collect_list(F.struct("docs", "code", "n")).alias("kinds"), F.sum("n").alias("weight"))
+    held = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(core, ["cluster", "salt"])
+    none = F.array().cast("array<struct<docs:long,code:long,least:long>>")
+    held = held.withColumn("core", F.coalesce("core", none))
+    held = held.select("cluster", "id", "weight", "size", "heaviest", *[F.col(f"kinds.{c}").alias(c) for c in ("docs", "code", "n")], *[F.col(f"core.{c}").alias(f"core_{c}") for c in ("docs", "code", "least")])
+    out = stage(_prefixes(held, threshold).join(sizes.select("cluster", "heaviest"), "cluster"))
+    unstage(rows, counts, sizes)
+    return out
+
+
+def _close(threshold: float) -> Column:
+    """Whether two texts (u_, v_) that share no feature before these can be similar."""
+    c = F.col
+    return _may_reach((c("u_a") + c("v_d")) / c("u_weight"), (c("v_a") + c("u_d")) / c("v_weight"), threshold)
+
+
+def _across(places: DataFrame, texts: DataFrame, links: DataFrame, known: DataFrame, threshold: float, size: int) -> DataFrame | None:
+    """Links (a, b, similarity) that join components of ``links`` within clusters; None if there are none.
+
+    First the text nearest to a cluster's core is compared with all others near to it, then texts outside a cluster's largest component
+    with those of other components whom they meet at a feature. Pairs in ``known`` were compared before.
+    """
+    columns = ("id", "component", "weight", "a", "d")
+    side = lambda df, k: df.select("cluster", "feature", *[F.col(c).alias(f"{k}_{c}") for c in columns])
+    apart = F.col("u_component") != F.col("v_component")
+
+    def compared(met: DataFrame) -> DataFrame:
+        pairs = stage(met.select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
+        found = stage(_similar(pairs, texts, threshold, size))
+        unstage(pairs)
+        return found
+
+    def placed(member: DataFrame) -> DataFrame:
+        return places.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    member = components(links)
+    near = placed(member).where("feature IS NULL")
+    nearest = F.min_by(F.struct(*columns), F.struct(F.col("a") / F.col("weight") + F.col("d") / F.col("heaviest"), "id"))
+    centre = near.groupBy("cluster").agg(nearest.alias("u")).select("cluster", *[F.col(f"u.{c}").alias(f"u_{c}") for c in columns])
+    star = compared(side(near, "v").join(centre, "cluster").where(apart & _close(threshold)))
+    if not star.isEmpty():
+        unstage(member)
+        links = links.unionByName(star)
+        member = components(links)
+    here = stage(placed(member))
+    parts = here.select("cluster", "component", "id").distinct().groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = stage(parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
+    here = here.join(main, "cluster")
+    outside, other = side(here.where("component <> main"), "u"), side(here, "v")
+    same = (outside["cluster"] == other["cluster"]) & outside["feature"].eqNullSafe(other["feature"])
+    more = compared(outside.join(other, same & apart & _close(threshold)))
+    found = star.unionByName(more)
+    unstage(member)
+    return None if found.isEmpty() else found
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 5, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) for every row of ``docs``; class_id is the least id of the class.
 
     Texts of equal words are one node, its least id; only nodes are compared. In each bucket of a band the least
-    node is compared with the others. If that leaves a bucket in several components, the nodes outside the largest are
-    compared with all nodes of other components there, so no candidate link between components is left out; but for pairs
-    that cannot be similar, for too much of their weight lies in shingles that no other node has. A text
-    without a word is a class of its own, also when null; a null id has a null class; repeated rows repeat.
+    node is compared with the others. Where that leaves a bucket in several components, the texts of such buckets, in clusters joined by common
+    buckets, are searched for the remaining links by features that similar texts must share (see _prefixes); there no pair as
+    similar as ``threshold`` is left out, whether it shares a bucket or not, and pairs that cannot be similar are not made. A text
+    without a word is a class of its own, also when null; a null id has a null class; repeated rows repeat. A very long text counts whole.
 
-    Shuffled: ids, keys and bands; texts once, of those in some candidate pair again for the comparison.
+    Shuffled: ids, keys and bands; texts once, of those in some candidate pair again for the comparison; shingles of those in divided buckets.
     """
     sig = stage(signatures(docs, bands, rows, size, id_col, text_col).withColumnRenamed(id_col, "id"))
     keyed = sig.where("key IS NOT NULL AND id IS NOT NULL")
@@ -184,22 +288,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     links = stage(_similar(pairs, texts, threshold, size))
     member = components(links)
     # buckets whose nodes are in several components
-    placed = stage(shared.select("bucket", "id").join(member, shared["id"] == member["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    split = stage(parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("main.component").alias("main")))
-    inside = stage(placed.join(split, "bucket"))
-    extents = stage(_extents(texts.join(inside.select("id").distinct(), "id", "left_semi"), size))
-    inside = stage(inside.join(extents, "id"))
-    side = lambda k: ["bucket", *[F.col(c).alias(f"{k}_{c}") for c in ("id", "component", "weight", "extra", "common")]]
-    outsider, other = inside.where("component <> main").select(*side("u")), inside.select(*side("v"))
-    met = outsider.join(other, (outsider["bucket"] == other["bucket"]) & (F.col("u_component") != F.col("v_component")) & _may_reach(threshold))
-    more = met.select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b")).distinct()
-    more = stage(more.join(pairs, ["a", "b"], "left_anti"))
-    found = stage(_similar(more, texts, threshold, size))
-    if not found.isEmpty():
-        unstage(member)
-        member = components(links.unionByName(found))
-    unstage(placed, split, inside, extents, wanted, more, pairs, texts, shared, links, found)
+    placed = shared.join(member, shared["id"] == member["node"], "left").select("bucket", "leader", "id", F.coalesce("component", "id").alias("component"))
+    divided = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    clusters = components(shared.join(divided, "bucket", "left_semi").select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    if not clusters.isEmpty():
+        places = _meeting_places(texts, clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), threshold, size)
+        found = _across(places, texts, links, pairs, threshold, size)
+        if found is not None:
+            unstage(member)
+            member = components(links.unionByName(found))
+        unstage(places)
+    unstage(clusters, wanted, pairs, texts, shared, links)
     known = keyed.select("id", "key").join(first, "key").join(member.withColumnRenamed("node", "first"), "first", "left")
     known = known.select("id", F.coalesce("component", "first").alias("class_id"))
     rest = sig.where("key IS NULL OR id IS NULL").select("id", F.col("id").alias("class_id"))

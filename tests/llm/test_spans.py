@@ -9,7 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from fieldtrail.llm import decontaminate, neardup, packing, substring
+from fieldtrail.llm.components import components
 from fieldtrail.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, maybe string, cuts string, key int"
@@ -167,19 +170,50 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and kept.columns == frame(spark, []).columns
 
 
-def test_pairs_left_out_are_not_similar(spark):
-    """The bound on the similarity holds for random multisets."""
-    from pyspark.sql import functions as F
+def one_cluster(spark, texts, threshold, links=()):
+    """The classes that the search across components finds if all texts are in one cluster, and the number of pairs that it compares."""
+    frame_ = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    clusters = frame_.select("id", F.lit(0).cast("long").alias("cluster"))
+    links = spark.createDataFrame([(a, b, 1.0) for a, b in links], "a long, b long, similarity double")
+    places = neardup._meeting_places(frame_, clusters, threshold, 5)
+    compared, plain = [], neardup._similar
+
+    def similar(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    neardup._similar = similar
+    try:
+        found = neardup._across(places, frame_, links, links.select("a", "b"), threshold, 5)
+    finally:
+        neardup._similar = plain
+    found = links if found is None else links.unionByName(found)
+    member = {r["node"]: r["component"] for r in components(found).collect()}
+    return {i: member.get(i, i) for i in range(len(texts))}, sum(compared)
 
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8])
+def test_search_across_components_leaves_out_no_link(spark, threshold):
+    """For random multisets, with words that stand in most texts, and repeats."""
     rnd = random.Random(8)
-    texts = [" ".join(f"a{rnd.randrange(12)}" if rnd.random() < 0.3 else f"a{k}" for k in range(rnd.randrange(10, 40))) + f" p{i}" * rnd.randrange(1, 6) for i in range(30)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    e = neardup._extents(docs, 5).cache()
-    side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("id", "weight", "extra", "common")]
-    pairs = e.select(*side("u")).crossJoin(e.select(*side("v"))).where("u_id < v_id")
-    for threshold in (0.3, 0.6, 0.8):
-        for r in pairs.where(~neardup._may_reach(threshold)).select("u_id", "v_id").collect():
-            assert neardup.probability_jaccard(neardup.shingles(texts[r["u_id"]]), neardup.shingles(texts[r["v_id"]])) < threshold
+    texts = [" ".join(f"a{rnd.randrange(12)}" if rnd.random() < 0.05 * (i % 7) else f"a{k}" for k in range(rnd.randrange(10, 40))) + f" p{i % 9}" * rnd.randrange(6) for i in range(40)] + ["x y " * k + f"z{k}" for k in (3, 9, 20, 21, 40)]
+    assert one_cluster(spark, texts, threshold)[0] == plain_classes(list(enumerate(texts)), threshold)
+
+
+def test_a_large_group_of_changed_copies_is_not_compared_in_pairs(spark):
+    """Copies of one text, each with changes that make nearly all pairs less similar than the threshold."""
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+
+    def changed():
+        words = list(base)
+        for k in rnd.sample(range(150), rnd.choice([0, 5, 6, 7, 8])):
+            words[k] = f"n{rnd.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = [changed() for _ in range(300)]
+    got, compared = one_cluster(spark, texts, 0.8)
+    assert got == plain_classes(list(enumerate(texts))) and compared < 3 * len(texts)
 
 
 def plain_tiles(item, text, least):
