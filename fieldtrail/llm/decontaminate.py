@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrail.llm.common import WordHashes, rolling
+from fieldtrail.llm.common import WordHashes, rolling, stage
 
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
@@ -131,26 +131,26 @@ class PassageIndex:
             yield self.found(ws, _HASHES.of(ws)) if ws else []
 
 
-def passage_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = 8_000_000, **options) -> Iterator[PassageIndex]:
+def passage_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = 8_000_000, **options) -> Iterator[tuple[PassageIndex, bool]]:
     """Indexes over blocks of the passages, each of about ``block_chars`` characters, so that what is broadcast is bounded.
-    Null passages are left out; repeated ones count once."""
+    Null passages are left out; repeated ones count once. With each, whether there are several."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL").dropDuplicates()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-size // block_chars))
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).orderBy("item", "text").collect()
-        yield PassageIndex([(r["item"], r["text"]) for r in rows], **options)
+        yield PassageIndex([(r["item"], r["text"]) for r in rows], **options), n_blocks > 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
     """(id, item_id, n_words, n_covered, n_tiles, coverage) for each text and passage whose coverage reaches the threshold.
 
     Null and empty texts have no row; a repeated row of ``docs`` repeats its rows. The texts are read once for each
-    block of passages, and never shuffled.
+    block of passages, and never shuffled; texts are read whole. Longest tiles come first, of equal ones the first in the passage, then in the text.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out = None
-    for index in passage_blocks(benchmark, item_col, **options):
+    for index, several in passage_blocks(benchmark, item_col, **options):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -162,13 +162,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays(columns, [id_col, "item_id", "n_words", "n_covered", "n_tiles", "coverage"])
 
         part = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id {item_kind}, n_words long, n_covered long, n_tiles long, coverage double")
+        if several:  # one block at a time
+            part = stage(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no passage; null and empty texts stay."""
-    for index in passage_blocks(benchmark, item_col, **options):
+    for index, several in passage_blocks(benchmark, item_col, **options):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -176,4 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield batch.filter(pa.array([not found for found in shared.value.scan(batch.column(text_col).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if several:  # one block at a time
+            docs = stage(docs)
+            shared.destroy()
     return docs

@@ -179,12 +179,11 @@ class PpmModel:
         return out
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", docs_per_lang: int = 600, max_nodes: int = 600_000) -> PpmModel:
+def fit(train: DataFrame, id_col: str = "doc_id", docs_per_lang: int = 600) -> PpmModel:
     """Fit on about ``docs_per_lang`` whole texts of each language, chosen by a hash of the id.
 
-    ``train`` needs ``id_col``, text and lang; rows without text or lang are left out. The context trees
-    keep at most ``max_nodes`` leaves over all languages (the most frequent, ties by language and code),
-    which bounds the model's size on the driver and in the broadcast.
+    ``train`` needs ``id_col``, text and lang; rows without text or lang are left out; without any the model knows no language.
+    The context trees hold all that the sample has, so the sample alone bounds the model's size on the driver and in the broadcast.
     """
     train = train.select(id_col, "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     shares = {r["lang"]: min(1.0, docs_per_lang / r["n"]) for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -203,7 +202,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", docs_per_lang: int = 600, max_
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     counted = train.where(sampled(id_col, share)).select("lang", "text").mapInArrow(count, "lang string, code long, n long")
-    nodes = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "code").limit(max_nodes).toPandas()
+    nodes = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     out = {}
     for lang, part in nodes.groupby("lang"):
         part = part.sort_values("code")
@@ -214,7 +213,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", docs_per_lang: int = 600, max_
 def identify(docs: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and lang_score; ``und`` and 0 where text is null or has no letter.
 
-    Columns of ``docs`` with these names are replaced.
+    Columns of ``docs`` with these names are replaced. Texts are read whole, repeated rows stay, and an empty table gives no row;
+    of languages with equal code lengths the first by name wins.
     """
     docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -169,7 +169,7 @@ SCAN_DDL = "n_words long, n_base long, first_word long, last_word long, base_lab
 
 def scan(docs: DataFrame, scanner: LicenseScanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_words, the base phrases' count, first and last places and labels, all labels, the best
-    coverage as score, and the covered spans. A null or empty text has no words and no labels; repeated rows stay."""
+    coverage as score, and the covered spans. A null or empty text has no words and no labels; repeated rows stay; an empty table gives no row; texts are read whole."""
     scanner = scanner or LicenseScanner()
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
 

@@ -317,7 +317,7 @@ def main_text(html: str | None) -> tuple[str, int, int]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row: id, url, text (empty if none), n_chars (code points), n_blocks, n_content. A null html counts as empty; repeated rows stay."""
+    """Per row: id, url, text (empty if none), n_chars (code points), n_blocks, n_content. A null html counts as empty; repeated rows stay; an empty table gives no row; pages are read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -196,5 +196,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str
             where, offset = shared.value.place(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, "piece", "start", "length", "ids_crc32")), pa.array(where), pa.array(offset)], [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
+    # lengths x partitions grow with the table, so they are not broadcast
+    ranked = pieces.join(base.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
     return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -150,9 +150,9 @@ def fit_crf(docs: list[np.ndarray], labels: list[int], rounds: int = 200, rate:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_label: int = 1000, max_lines: int = 64) -> LineCrf:
-    """Fit on about ``docs_per_label`` texts of quality 0 and of 1, of at most ``max_lines`` lines, chosen by a hash of the id.
+    """Fit on about ``docs_per_label`` texts of quality 0 and of 1, chosen by a hash of the id. A text of more than ``max_lines`` lines is several sequences.
 
-    ``labels`` needs ``id_col`` and quality (0 or 1). Without both labels all lines are content.
+    ``labels`` needs ``id_col`` and quality (0 or 1). Without both labels, also on empty tables, all lines are content.
     """
     sample, sizes, _ = labelled_sample(docs, labels, "quality", {0: docs_per_label, 1: docs_per_label}, id_col, text_col)
     if len(sizes) < 2:
@@ -160,10 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array([line_features(t).ravel().tolist() for t in batch["text"].to_pylist()], pa.list_(pa.float64()))], ["id", "label", "x"])
+            parts = [(i, k, x[k : k + max_lines].ravel().tolist()) for i, x in enumerate(map(line_features, batch["text"].to_pylist())) for k in range(0, len(x), max_lines)]
+            at = pa.array([i for i, *_ in parts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["label"].take(at), pa.array([k for _, k, _ in parts], pa.int64()), pa.array([x for *_, x in parts], pa.list_(pa.float64()))], ["id", "label", "first", "x"])
 
-    sample = sample.where(F.size(F.split("text", "\n")) <= max_lines).select(F.col(id_col).cast("string").alias("id"), "label", "text")
-    rows = sample.mapInArrow(features, "id string, label int, x array<double>").where(F.size("x") > 0).orderBy("id").limit(4 * docs_per_label).collect()
+    sample = sample.select(F.col(id_col).cast("string").alias("id"), "label", "text")
+    rows = sorted(sample.mapInArrow(features, "id string, label int, first long, x array<double>").collect())
     return fit_crf([np.array(r["x"]).reshape(-1, N_FEATURES) for r in rows], [r["label"] for r in rows])
 
 
@@ -171,7 +173,7 @@ _FIELDS = {**dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines",
 
 
 def judge(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, base counts, lines, content lines, content share, base_failed and kept. A null text has no words and fails; repeated rows stay."""
+    """Per row: the id, base counts, lines, content lines, content share, base_failed and kept. A null text has no words and fails; repeated rows stay; an empty table gives no row; texts are read whole. Of equally likely labellings Viterbi takes content."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,12 +97,12 @@ WITH RECURSIVE p AS (
   FROM pages),
 rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 t AS (
-  SELECT *, replace(CASE WHEN regexp_extract(fresh, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) <> '' THEN regexp_extract(fresh, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)
-                    ELSE regexp_extract(canon, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS target,
+  SELECT *, [replace(regexp_extract(fresh, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '&amp;', '&'), replace(regexp_extract(canon, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&')] AS targets,
     (SELECT max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), (length(r.host || r.path), length(r.host)))
      FROM rules r WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS fit
   FROM p),
-urls AS (SELECT u FROM t UNION SELECT target FROM t),
+target AS (SELECT u, unnest(targets) AS target FROM t),
+urls AS (SELECT u FROM t UNION SELECT target FROM target),
 addresses AS (
   SELECT u,
     translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -110,10 +110,11 @@ addresses AS (
     array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z_]*|fbclid|gclid|ref|ref_src|mc_cid|mc_eid|igshid)(=|$)'))), '&') AS query
   FROM urls WHERE contains(u, '://')),
 keyed AS (
-  SELECT u, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS key
+  SELECT u, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(?:www|m)\.(.*\..*)$', '\1') || regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS key
   FROM addresses),
-k AS (SELECT t.*, a.key AS key, b.key AS target_key FROM t LEFT JOIN keyed a ON t.u = a.u LEFT JOIN keyed b ON t.target = b.u),
-edges AS (SELECT key AS a, target_key AS b FROM k WHERE key IS NOT NULL AND target_key IS NOT NULL UNION SELECT target_key, key FROM k WHERE key IS NOT NULL AND target_key IS NOT NULL),
+k AS (SELECT t.*, a.key AS key FROM t LEFT JOIN keyed a ON t.u = a.u),
+link AS (SELECT a.key AS a, b.key AS b FROM target t JOIN keyed a ON t.u = a.u JOIN keyed b ON t.target = b.u),
+edges AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(a, b) AS (SELECT DISTINCT key, key FROM k WHERE key IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 said AS (
   SELECT r.a AS key, bool_or(k.fit.verdict = 'allow') AS allowed, bool_or(k.fit.verdict = 'block') AS blocked

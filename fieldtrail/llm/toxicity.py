@@ -9,9 +9,11 @@ less the more letters differ, and far less inside quotation marks; matches combi
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,12 @@ from fieldtrail.llm.common import labelled_sample
 EDGE = "\"'`“”„«»‘’‚‹›.,;:!?()[]{}<>*#$%&|~^=+-_/\\…·•"
 OPENING, CLOSING = "\"“„«‘‹", "\"”“»’›"
 STEM = range(4, 9)
+_INNER = re.compile(f"[{re.escape(EDGE)}]+")
 
 
 def edits_allowed(length: int, stem: bool) -> int:
-    """A stem says less than a whole word, so it must be longer to be matched with edits."""
-    return 0 if length < (7 if stem else 5) else 1 if length < 9 else 2
+    """A stem says less than a whole word, so it must be longer to be matched with edits. What edits of a term stand in clean texts too loses its weight."""
+    return 0 if length < (7 if stem else 4) else 1 if length < 9 else 2
 
 
 class LexiconAutomaton:
@@ -126,20 +129,20 @@ class LexiconAutomaton:
 class ToxicityModel:
     """``prior``: the score of a text without a match. ``edit_weight``: evidence kept at each edit; ``quoted_weight``: in quotation.
 
-    ``found``: (term, edits, odd) -> texts of the sample with such a match, toxic and clean (scaled to as many as toxic);
-    odd: the word holds other characters than letters. Misspellings that clean texts have too lose their weight.
+    ``found``: (term, edits, odd) -> texts of the sample with such a match and no exact one: toxic ones, as many as there would be if
+    they had it as often as clean ones, and clean ones; odd: the word holds other characters than letters. Misspellings that clean texts have too lose their weight.
     """
 
-    def __init__(self, terms: list[tuple[str, bool, float]], prior: float, edit_weight: float = 0.85, quoted_weight: float = 0.25, window: int = 12, found: dict[tuple[int, int, bool], tuple[float, float]] | None = None):
+    def __init__(self, terms: list[tuple[str, bool, float]], prior: float, edit_weight: float = 0.85, quoted_weight: float = 0.25, window: int = 12, found: dict[tuple[int, int, bool], tuple[float, float, float]] | None = None):
         self.automaton = LexiconAutomaton(terms)
         self.prior, self.edit_weight, self.quoted_weight, self.window = prior, edit_weight, quoted_weight, window
         self.weights: dict[tuple[int, int, bool], float] = {}
         for t, (_, _, likely) in enumerate(terms):
             for edits in range(3):
                 for odd in (False, True):
-                    toxic, clean = (found or {}).get((t, edits, odd), (0.0, 0.0))
-                    more = max(0.0, toxic - clean)
-                    self.weights[t, edits, odd] = likely if edits == 0 else (more + likely * edit_weight**edits) / (more + 2 * clean + 1.0)
+                    toxic, expected, clean = (found or {}).get((t, edits, odd), (0.0, 0.0, 0.0))
+                    more = max(0.0, toxic - expected)
+                    self.weights[t, edits, odd] = likely if edits == 0 else (more + likely * edit_weight**edits) / (more + clean + 1.0)
         self._seen: dict[str, tuple[int, int, bool] | None] = {}
 
     def __getstate__(self) -> dict:
@@ -152,11 +155,15 @@ class ToxicityModel:
         except KeyError:
             if len(self._seen) > 400_000:
                 self._seen.clear()
-            word = raw.strip(EDGE)
-            found = self.automaton.match(word) if 3 < len(word) <= 40 else None
-            if found:
-                found = (*found, found[1] > 0 and not word.isalpha())
-            self._seen[raw] = found
+            # the word; if it is none, those that marks inside it part
+            for word in filter(None, dict.fromkeys([raw.strip(EDGE), *_INNER.split(raw)])):
+                if found := self.automaton.match(word):
+                    found = (*found, found[1] > 0 and not word.isalpha())
+                    break
+            else:
+                found = None
+            if len(raw) <= 100:
+                self._seen[raw] = found
             return found
 
     def _quoted(self, words: list[str], at: int) -> bool:
@@ -198,9 +205,9 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = [w for raw in text.lower().split() if (w := raw.strip(EDGE))]
             mine: dict[tuple[str, bool], int] = {}
             for i, w in enumerate(words):
-                if not 3 < len(w) <= 40 or not w.isalpha():
+                if len(w) < 2 or not w.isalpha():
                     continue
-                near = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")) & 0x7FFFFFFF
+                near = xxhash.xxh3_64_intdigest(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}") >> 1
                 mine.setdefault((w, False), near)
                 for n in STEM:
                     if n < len(w):
@@ -212,24 +219,25 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(stems, pa.bool_()), pa.array(labels, pa.int32()), pa.array(contexts, pa.int64())], ["term", "stem", "label", "context"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000, max_clean: int = 3000, max_terms: int = 2000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1000, max_clean: int = 3000, level: float = 1e-3) -> ToxicityModel:
     """Learn the lexicon from about ``max_toxic`` and ``max_clean`` whole labelled texts, chosen by a hash of the id.
 
     ``labels`` needs ``id_col`` and toxic (0 or 1). A term's support is the number of
-    different neighbourhoods in which toxic texts have it, so that a copied text counts once. A term must be
-    too frequent there to be chance, and hardly occur in clean texts. At most ``max_terms`` terms are kept, the best supported first.
+    different neighbourhoods in which toxic texts have it, so that a copied text counts once; equal texts count once, as toxic if one of
+    them is. A term must be too frequent there to be chance (``level``), and hardly occur in clean texts. The lexicon is bounded by the sample alone.
+    Without toxic texts, also on empty tables, it is empty.
     """
     sample, sizes, shares = labelled_sample(docs, labels, "toxic", {1: max_toxic, 0: max_clean}, id_col, text_col)
     if not sizes.get(1):
         return ToxicityModel([], 0.01)
-    sample = sample.select("text", "label").dropDuplicates(["text"])
+    sample = sample.groupBy("text").agg(F.max("label").alias("label"))
     rows = sample.mapInArrow(_term_rows, "term string, stem boolean, label int, context long")
     counted = rows.groupBy("term", "stem", "label", "context").agg(F.count("*").alias("n"))
     counted = counted.groupBy("term", "stem").agg(F.sum((F.col("label") == 1).cast("long")).alias("toxic"), F.sum((F.col("label") == 0).cast("long")).alias("clean"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean_texts"))
     toxic, clean = (max(1.0, sizes.get(k, 0) * shares[k]) for k in (1, 0))
-    chance = math.log(1e-6) / math.log(toxic / (toxic + clean))  # so much support of one kind alone is no chance
+    chance = math.log(level) / math.log(toxic / (toxic + clean))  # so much support of one kind alone is no chance
     good = counted.where((F.col("toxic") >= max(3.0, chance)) & (F.col("clean_texts") * toxic <= 0.02 * F.col("toxic") * clean))
-    found = {(r["term"], r["stem"]): (r["toxic"], r["clean_texts"]) for r in good.orderBy(F.desc("toxic"), F.length("term"), "term", "stem").limit(20 * max_terms).collect()}
+    found = {(r["term"], r["stem"]): (r["toxic"], r["clean_texts"]) for r in good.orderBy(F.desc("toxic"), F.length("term"), "term", "stem").collect()}
 
     def longest(term: str) -> tuple[str, bool]:
         """The longest form of a stem that has nearly all of its support: it says more, and bears edits."""
@@ -237,26 +245,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return max(forms, key=lambda k: (len(k[0]), not k[1], k[0]))
 
     kept: dict[tuple[str, bool], float] = {}
+    starts: set[str] = set()
     for term, stem in found:
         # what is a form of a kept stem, or the start of a kept term, adds nothing
-        if len(kept) < max_terms and not any((s and term.startswith(k)) or (stem and k.startswith(term)) for k, s in kept):
+        if not any((term[:n], True) in kept for n in STEM if n <= len(term)) and not (stem and term in starts):
             key = longest(term) if stem else (term, False)
             n, n_clean = found[key]
             kept[key] = (n + 0.5) / (n + n_clean * toxic / clean + 1.0)
+            starts.update(key[0][:n] for n in range(1, len(key[0]) + 1))
     terms = [(t, s, p) for (t, s), p in kept.items()]
     shared = docs.sparkSession.sparkContext.broadcast(ToxicityModel(terms, 0.01))
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*m, label) for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True) for m in {shared.value.match(w) for w in text.lower().split()} - {None}]
+            rows = []
+            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
+                matches = {shared.value.match(w) for w in text.lower().split()} - {None}
+                if all(edits for _, edits, _ in matches):
+                    rows += [(*m, label) for m in sorted(matches)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.int32()))], ["t", "edits", "odd", "label"])
 
     found_in = sample.mapInArrow(misspelled, "t int, edits int, odd boolean, label int").groupBy("t", "edits", "odd").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    return ToxicityModel(terms, 0.01, found={(r["t"], r["edits"], r["odd"]): (r["toxic"], r["clean"] * toxic / clean) for r in found_in.collect()})
+    return ToxicityModel(terms, 0.01, found={(r["t"], r["edits"], r["odd"]): (r["toxic"], r["clean"] * toxic / clean, r["clean"]) for r in found_in.collect()})
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with toxicity (0 to 1) and n_toxic_matches; a null or empty text has the prior. Such columns of ``docs`` are replaced."""
+    """``docs`` with toxicity (0 to 1) and n_toxic_matches; a null or empty text has the prior. Such columns of ``docs`` are replaced.
+
+    Texts are read whole, words of any length too; repeated rows stay, and an empty table gives no row. Of equally near terms the likelier counts, then the first."""
     docs = docs.drop("toxicity", "n_toxic_matches")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,7 +1,7 @@
 """URL filter with redirect equivalence: block decisions spread over aliases of a page.
 
 Aliases are URLs joined by redirect (meta refresh) and canonical-link edges (a page can have both; relative ones count), and URLs that differ only in
-what servers redirect away: scheme, leading www. or m., default port, fragment, tracking parameters, a
+what servers redirect away: scheme, www. or m. before a name of two labels or more, default port, fragment, tracking parameters, a
 closing slash, .html. Explicit rules come first, the longest; others take over their component's decision,
 where an allowed member has precedence over a blocked one; a component without a decision is allowed.
 """
@@ -54,7 +54,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def alias_key(url: Column) -> Column:
     """The address without what servers redirect away; null without ``://``."""
     host, path = host_and_path(url)
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www|m)\.", "")
+    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(?:www|m)\.(.*\..*)$", "$1")
     path = F.regexp_replace(F.regexp_replace(path, r"\.html?$", ""), r"/+$", "")
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1)
     query = F.concat_ws("&", F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(f"^({TRACKING})(=|$)"))))
@@ -134,7 +134,7 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """Per row of ``pages``: id, url, host, path, rule (null if none fits), verdict and alias (least address of the
-    component). A null url, or one without ``://``, has empty host and path and no alias, and is allowed. Repeated rows stay.
+    component). A null url, or one without ``://``, has empty host and path and no alias, and is allowed. Repeated rows stay; an empty table gives no row; urls and pages are read whole.
 
     The page table is read twice, each time without a shuffle of html; only addresses are shuffled.
     """

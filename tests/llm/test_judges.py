@@ -105,6 +105,33 @@ def test_toxic_texts_held_out(spark):
     assert toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels.limit(0)).score("x")[1] == 0
 
 
+def test_toxic_words_of_any_length_and_odd_rows(spark):
+    m = toxicity.ToxicityModel([("moron", False, 0.99), ("scum", False, 0.99), ("quardo", True, 0.99), ("ab", False, 0.99)], 0.01)
+    for word in ("moron/" + "x" * 60, "quardo" + "y" * 60, "skum", "scvm", "ab", "well-known-moron"):
+        assert m.score(f"a {word} b")[0] > 0.3, word
+    assert m.score("z" * 100_000) == m.score("abx") == (pytest.approx(0.01), 0)
+    rows = [(i, f"n{i} badword m{i}" if i % 2 else f"n{i} fine m{i}", "x") for i in range(40)] + [(50, "same text", "x"), (51, "same text", "x"), (52, None, "x"), (53, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(50, 0), (51, 1), (50, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs.unionByName(docs.where("doc_id = 1")), toxicity.fit(docs, labels)).collect()}
+    assert all((v > 0.3) == (k % 2 == 1) for k, v in got.items() if k < 40) and got[52] == got[53] == pytest.approx(0.01)
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_empty_tables_give_no_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert maintext.extract(pages).count() == urlfilter.judge(pages).count() == licenses.scan(docs).count() == 0
+    assert quality.judge(docs, quality.fit(docs, labels)).count() == langid.identify(docs, langid.fit(docs)).count() == 0
+
+
+def test_names_of_two_labels_are_no_aliases(spark):
+    pages = spark.createDataFrame([(1, "http://m.org/a", ""), (2, "http://www.org/a", ""), (3, "http://m.x.org/a", ""), (4, "http://www.x.org/a", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["alias"] for r in urlfilter.judge(pages).collect()}
+    assert got == {1: "m.org/a", 2: "www.org/a", 3: "x.org/a", 4: "x.org/a"}
+
+
 def plain_base(text):
     text = text or ""
     words = text.encode().split()
