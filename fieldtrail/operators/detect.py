@@ -15,19 +15,20 @@ JUNK = ["node_modules", ".git", "target", "build", "bin", "obj", ".venv", "venv"
 COUNTED, SNIFFED = 500, 80
 
 
-def detect_profiles(files: DataFrame, root_depth: int = 0) -> DataFrame:
-    """(repo, profile). ``root_depth``: folders before a repo's root in its paths. Counts stop at 500, the first 80 sources by path are looked
+def detect_profiles(files: DataFrame, root_depth: int = 0, counted: int = COUNTED, sniffed: int = SNIFFED) -> DataFrame:
+    """(repo, profile). ``root_depth``: folders before a repo's root in its paths. Counts stop at ``counted``, the first ``sniffed`` sources by path are looked
     into; on equal counts a root marker decides, then the order of languages. Repos without sources are java-generic."""
     lead = f"^(?:[^/]+/){{{root_depth}}}"
     junk = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, JUNK)))
     ext = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r".(\.[^.]*)$", 1)
     language = F.coalesce(*[F.when(ext == e, name) for name, e, *_ in LANGUAGES])
     first = F.row_number().over(Window.partitionBy("repo", "language").orderBy("path"))
-    sniffed = files.withColumn("language", language).filter("language IS NOT NULL").withColumn("r", first).filter(F.col("r") <= SNIFFED)
     fits = F.coalesce(*[F.when(F.col("language") == name, F.col("text").rlike(words)) for name, _, _, words, *_ in LANGUAGES])
-    flavor = sniffed.groupBy("repo", "language").agg(F.bool_or(fits).alias("rich")).groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("language", "rich"))).alias("rich"))
+    # flags are ranked, not texts
+    flags = files.withColumn("language", language).filter("language IS NOT NULL").select("repo", "language", "path", fits.alias("fits")).withColumn("r", first).filter(F.col("r") <= sniffed)
+    flavor = flags.groupBy("repo", "language").agg(F.bool_or("fits").alias("rich")).groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("language", "rich"))).alias("rich"))
     counts = files.groupBy("repo").agg(
-        *[F.least(F.count_if((ext == e) & ~junk), F.lit(COUNTED)).alias(f"n_{name}") for name, e, *_ in LANGUAGES],
+        *[F.least(F.count_if((ext == e) & ~junk), F.lit(counted)).alias(f"n_{name}") for name, e, *_ in LANGUAGES],
         *[F.bool_or(F.col("path").rlike(f"{lead}{marker}$")).alias(f"m_{name}") for name, _, marker, *_ in LANGUAGES],
     )
     df = counts.join(flavor, "repo", "left")

@@ -49,11 +49,13 @@ def extract_symbols(files: DataFrame, checkpoint: bool = False) -> dict[str, Dat
 
 def diff_manifest(files: DataFrame, manifest: DataFrame, same_version: bool = True) -> dict[str, DataFrame]:
     """unchanged and changed files (of ``files``) and removed ones (of ``manifest``), by path and hash. Another version changes all."""
-    key = [files["repo"] == manifest["repo"], files["path"] == manifest["file"], files["sha256"] == manifest["sha256"]]
     if not same_version:
         return {"unchanged": files.limit(0), "changed": files, "removed": manifest}
+    # states are found by paths and hashes; texts only meet the few of their state
+    key = ["repo", "path", "sha256"]
+    here, known = files.select(*key).distinct(), manifest.select("repo", F.col("file").alias("path"), "sha256")
     gone = manifest.join(files.select("repo", F.col("path").alias("file")), ["repo", "file"], "left_anti")
-    return {"unchanged": files.join(manifest, key, "left_semi"), "changed": files.join(manifest, key, "left_anti"), "removed": gone}
+    return {"unchanged": files.join(here.join(known, key, "left_semi"), key, "left_semi"), "changed": files.join(here.join(known, key, "left_anti"), key, "left_semi"), "removed": gone}
 
 
 def refresh_symbols(files: DataFrame, symbols: dict[str, DataFrame], same_version: bool = True) -> dict[str, DataFrame]:

@@ -82,8 +82,8 @@ def _matches(globs: Sequence[str]) -> Column:
 
 
 def select_mapper_xml(files: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
-    """Mapper XML files: the usual places and the given globs; each file once."""
-    return files.filter(_matches([*globs, *MAPPER_XML])).dropDuplicates(["repo", "path"])
+    """Mapper XML files: the usual places and the given globs."""
+    return files.filter(_matches([*globs, *MAPPER_XML]))
 
 
 def select_sql_files(files: DataFrame, globs: Sequence[str] = ("**/*.sql",), skip_dirs: Sequence[str] = ()) -> DataFrame:
