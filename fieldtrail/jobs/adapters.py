@@ -37,13 +37,13 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls from each line of an order of more than 45 pieces to the next line's part, and references from small parts to their brand."""
+    """Calls from each line of an order to the next line's part, and references from the parts of the repository layer to their brand."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").withColumn("next", F.lead("l_partkey").over(line)).filter("next IS NOT NULL AND l_quantity > 45")
+    rows = table(spark, sf_dir, "lineitem").withColumn("next", F.lead("l_partkey").over(line)).filter("next IS NOT NULL")
     part_id = lambda c: F.concat(F.lit("P"), F.col(c).cast("string"))
     common = [F.lit("parts").alias("repo"), F.lit("part").alias("keyword")]
     calls = rows.select(*common, part_id("l_partkey").alias("src"), part_id("next").alias("dst"), F.lit("call").alias("kind"), F.when(F.col("l_linenumber") % 5 == 0, "inferred").otherwise("confirmed").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    refs = table(spark, sf_dir, "part").filter("p_size <= 12").select(*common, part_id("p_partkey").alias("src"), F.concat(F.lit("table:"), "p_brand").alias("dst"), F.lit("references").alias("kind"), F.lit("confirmed").alias("confidence"), (F.lit(100_000_000_000) + F.col("p_partkey")).alias("ord"))
+    refs = table(spark, sf_dir, "part").filter("p_size > 25 AND p_size <= 40").select(*common, part_id("p_partkey").alias("src"), F.concat(F.lit("table:"), "p_brand").alias("dst"), F.lit("references").alias("kind"), F.lit("confirmed").alias("confidence"), (F.lit(100_000_000_000) + F.col("p_partkey")).alias("ord"))
     return calls.unionByName(refs)
 
 
@@ -114,6 +114,16 @@ def mapper_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_from_table(body, F.lit("r"), F.concat(F.lit("res/mapper/Map"), key, F.lit(".xml")), text)
 
 
+def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Java mapper per supplier, with an annotated select for each part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    p = F.col("l_partkey").cast("string")
+    one = F.concat(F.lit('  @Select("SELECT * FROM t_part'), (F.col("l_partkey") % 10).cast("string"), F.lit(' " + "WHERE no = #{no}")\n  Order find'), p, F.lit("(String no);\n"))
+    body = lines.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", one.alias("m")))), lambda s: s["m"]), "").alias("body"))
+    key = F.col("l_suppkey").cast("string")
+    return corpus_from_table(body, F.lit("r"), F.concat(F.lit("src/Ann"), key, F.lit(".java")), F.concat(F.lit("public interface Ann"), key, F.lit(" {\n"), "body", F.lit("}\n")))
+
+
 def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python and C# models and their users: one file of each per part, repo = brand."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")

@@ -55,8 +55,8 @@ runs AS (SELECT repo, file, line, line_text, unnest(regexp_extract_all(code, '[A
 placed AS (SELECT *, 1 + coalesce(sum(length(run)) OVER (PARTITION BY repo, file, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS col FROM runs)"""
 GRAPH_SQL = """
 e0 AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS next FROM lineitem),
-calls AS (SELECT 'P' || l_partkey AS src, 'P' || next AS dst, 'call' AS kind, CASE WHEN l_linenumber % 5 = 0 THEN 'inferred' ELSE 'confirmed' END AS confidence, l_orderkey * 10 + l_linenumber AS ord FROM e0 WHERE next IS NOT NULL AND l_quantity > 45),
-edges AS (SELECT * FROM calls UNION ALL SELECT 'P' || p_partkey, 'table:' || p_brand, 'references', 'confirmed', 100000000000 + p_partkey FROM part WHERE p_size <= 12),
+calls AS (SELECT 'P' || l_partkey AS src, 'P' || next AS dst, 'call' AS kind, CASE WHEN l_linenumber % 5 = 0 THEN 'inferred' ELSE 'confirmed' END AS confidence, l_orderkey * 10 + l_linenumber AS ord FROM e0 WHERE next IS NOT NULL),
+edges AS (SELECT * FROM calls UNION ALL SELECT 'P' || p_partkey, 'table:' || p_brand, 'references', 'confirmed', 100000000000 + p_partkey FROM part WHERE p_size > 25 AND p_size <= 40),
 nodes AS (SELECT 'P' || p_partkey AS id, 'unit' AS kind, p_brand || '.' || p_partkey AS label, p_brand AS grp, p_partkey::VARCHAR AS name,
     CASE WHEN p_size <= 10 THEN 'Controller' WHEN p_size <= 25 THEN 'Service' WHEN p_size <= 40 THEN 'Repository' ELSE 'Other' END AS layer, CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END AS usages, p_partkey AS ord FROM part
   UNION ALL SELECT DISTINCT 'table:' || p_brand, 'table', p_brand, p_brand, p_brand, 'Table', 0, NULL FROM part),
@@ -160,13 +160,16 @@ def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "part").select("p_partkey", T.string_literals(code)[0].alias("one"), T.concat_literals(both).alias("joined"))
 
 
-@query("WITH " + FILES_SQL + " SELECT repo, file, sha256(text) AS sha256, CASE WHEN hash % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM (SELECT *, regexp_extract(file, 'doc([0-9]+)', 1)::BIGINT AS hash FROM files)")
+@query("WITH " + FILES_SQL + """, n AS (SELECT *, regexp_extract(file, 'doc([0-9]+)', 1)::BIGINT AS hash FROM files)
+SELECT repo, file, sha256(text) AS sha256, CASE WHEN hash % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM n UNION ALL SELECT repo, 'old/' || file, CASE WHEN hash % 3 = 0 THEN 'old' ELSE sha256(text) END, 'removed' FROM n WHERE hash % 5 = 0""")
 def incremental_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = A.document_files(spark, sf_dir)
     number = F.regexp_extract("file", "doc([0-9]+)", 1).cast("bigint")
     manifest = files.select("repo", F.col("path").alias("file"), "sha256").withColumn("sha256", F.when(number % 3 == 0, F.lit("old")).otherwise(F.col("sha256")))
+    manifest = manifest.unionByName(manifest.filter(number % 5 == 0).withColumn("file", F.concat(F.lit("old/"), "file")))
     parts = symbols.diff_manifest(files, manifest)
-    return graph.union_all([parts[k].select("repo", F.col("path").alias("file"), "sha256", F.lit(k).alias("state")) for k in ("unchanged", "changed")])
+    here = [parts[k].select("repo", F.col("path").alias("file"), "sha256", F.lit(k).alias("state")) for k in ("unchanged", "changed")]
+    return graph.union_all([*here, parts["removed"].select("repo", "file", "sha256", F.lit("removed").alias("state"))])
 
 
 # ---- Spans, classes, calls ----
@@ -189,6 +192,12 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.size("usages").cast("bigint").alias("n"), shown.alias("usages"))
 
 
+@query("WITH " + ENCLOSING_SQL + " SELECT file || ':' || line AS place, 'Part' AS layer, occurrence_type, snippet FROM sites JOIN held USING (file, line)")
+def usage_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = trace.seed_units(A.span_sites(spark, sf_dir), A.span_methods(spark, sf_dir)).withColumns({"kind": F.lit("unit"), "layer": F.lit("Part")})
+    return reports.usage_report(units).drop("repo", "keyword")
+
+
 @query("WITH RECURSIVE " + CLASS_SQL + " SELECT 'C' || k AS cls, 'C' || a AS ancestor, d::BIGINT AS distance FROM up")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = symbols.class_ancestors(A.class_symbols(spark, sf_dir)["inheritance"])
@@ -214,12 +223,13 @@ def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = A.table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 3")
+    """All controllers."""
+    units = A.table(spark, sf_dir, "part").filter("p_size <= 10")
     return units.select(F.lit("parts").alias("repo"), F.lit("part").alias("keyword"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
 
 
 def _reach_sql(start: str, end: str, depth: int) -> str:
-    return f"""walk(id, d) AS (SELECT 'P' || p_partkey, 0 FROM part WHERE p_partkey BETWEEN 1 AND 3 UNION SELECT {end}, d + 1 FROM walk JOIN steps ON steps.{start} = walk.id WHERE d < {depth}),
+    return f"""walk(id, d) AS (SELECT 'P' || p_partkey, 0 FROM part WHERE p_size <= 10 UNION SELECT {end}, d + 1 FROM walk JOIN steps ON steps.{start} = walk.id WHERE d < {depth}),
 reached AS (SELECT id, min(d) AS dist FROM walk GROUP BY id)"""
 
 
@@ -240,16 +250,16 @@ def traced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.trace_edges(trace.reach(s, e, 3, "down"), trace.reach(s, e, 3, "up"), e, 3).select("src", "dst")
 
 
-@query("WITH " + GRAPH_SQL + ", ids AS (SELECT DISTINCT 'P' || l_partkey AS id FROM lineitem WHERE l_quantity >= 50) SELECT 'caller' AS side, id, src AS other FROM normal JOIN ids ON dst = id WHERE kind = 'call' UNION SELECT 'callee', id, dst FROM normal JOIN ids ON src = id WHERE kind = 'call' UNION SELECT 'table', id, dst[7:] FROM normal JOIN ids ON src = id WHERE kind = 'references'")
+@query("WITH " + GRAPH_SQL + ", ids AS (SELECT DISTINCT 'P' || l_partkey AS id FROM lineitem) SELECT 'caller' AS side, id, src AS other FROM normal JOIN ids ON dst = id WHERE kind = 'call' UNION SELECT 'callee', id, dst FROM normal JOIN ids ON src = id WHERE kind = 'call' UNION SELECT 'table', id, dst[7:] FROM normal JOIN ids ON src = id WHERE kind = 'references'")
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _normal(spark, sf_dir)
-    ids = A.table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("id")).distinct()
+    ids = A.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("id")).distinct()
     sides = [trace.callers(edges, ids).select(F.lit("caller").alias("side"), "id", "other"), trace.callees(edges, ids).select(F.lit("callee").alias("side"), "id", "other")]
     return graph.union_all([*sides, trace.related_tables(edges, nodes, ids).select(F.lit("table").alias("side"), "id", F.col("table").alias("other"))])
 
 
-@query("WITH " + GRAPH_SQL + ", touching AS (SELECT src, dst FROM normal WHERE src IN ('P1', 'P2', 'P3') OR dst IN ('P1', 'P2', 'P3')) SELECT id, layer FROM nodes WHERE id IN (SELECT src FROM touching UNION SELECT dst FROM touching) OR id IN ('P1', 'P2', 'P3')")
-def neighborhood_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("WITH " + GRAPH_SQL + ", heart AS (SELECT id FROM nodes WHERE layer = 'Controller'), touching AS (SELECT src, dst FROM normal WHERE src IN (FROM heart) OR dst IN (FROM heart)) SELECT id, layer FROM nodes WHERE id IN (SELECT src FROM touching UNION SELECT dst FROM touching) OR id IN (FROM heart)")
+def neighborhood_of_controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _normal(spark, sf_dir)
     return trace.neighborhood(nodes, edges, _seeds(spark, sf_dir).select("id"))[0].select("id", "layer")
 
@@ -279,10 +289,10 @@ def enriched_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.enrich_nodes(*_normal(spark, sf_dir)).select("id", "degree", "complexity", "type", "summary", F.array_join("tags", ",").alias("tags"))
 
 
-@query("WITH " + GRAPH_SQL + ", p(layer, rank) AS (VALUES ('Controller', 0), ('Service', 1), ('Repository', 2), ('Table', 3), ('Other', 4)) SELECT row_number() OVER (ORDER BY rank) AS place, 'layer:' || lower(layer) AS layer_id, layer, n, first_ids FROM (SELECT layer, rank, count(*) AS n, array_to_string(list(id ORDER BY ord, id) [1:3], ',') AS first_ids FROM nodes JOIN p USING (layer) WHERE kind = 'unit' GROUP BY ALL)")
+@query("WITH " + GRAPH_SQL + ", p(layer, rank) AS (VALUES ('Controller', 0), ('Service', 1), ('Repository', 2), ('Table', 3), ('Other', 4)) SELECT row_number() OVER (ORDER BY rank) AS place, 'layer:' || lower(layer) AS layer_id, layer, n, ids_md5 FROM (SELECT layer, rank, count(*) AS n, md5(string_agg(id, ',' ORDER BY ord, id)) AS ids_md5 FROM nodes JOIN p USING (layer) WHERE kind = 'unit' GROUP BY ALL)")
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = graph.build_layers(A.part_nodes(spark, sf_dir).filter("kind = 'unit'"))
-    return built.select(F.col("place").cast("bigint").alias("place"), "layer_id", "layer", F.size("node_ids").cast("bigint").alias("n"), F.array_join(F.slice("node_ids", 1, 3), ",").alias("first_ids"))
+    return built.select(F.col("place").cast("bigint").alias("place"), "layer_id", "layer", F.size("node_ids").cast("bigint").alias("n"), F.md5(F.array_join("node_ids", ",")).alias("ids_md5"))
 
 
 @query("WITH " + GRAPH_SQL + ", p(layer, rank) AS (VALUES ('Controller', 0), ('Service', 1), ('Repository', 2), ('Table', 3), ('Other', 4)) SELECT row_number() OVER (ORDER BY rank) AS place, layer, n FROM (SELECT layer, rank, count(*) AS n FROM nodes JOIN p USING (layer) GROUP BY ALL)")
@@ -322,11 +332,11 @@ def capped_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.truncate_graph(*_normal(spark, sf_dir))[0].select("id", "kind", "layer", "label")
 
 
-@query("WITH RECURSIVE " + GRAPH_SQL + """, tables AS (SELECT DISTINCT dst AS id FROM normal WHERE kind = 'references'),
-walk(origin, place, d) AS (SELECT id, id, 0 FROM nodes UNION SELECT origin, dst, d + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM normal) ON src = place WHERE d < 4 AND NOT starts_with(place, 'table:'))
-SELECT origin AS "start", (min(d) + 1)::BIGINT AS n FROM walk WHERE d > 0 AND starts_with(place, 'table:') GROUP BY origin""")
+@query("WITH RECURSIVE " + GRAPH_SQL + """,
+back(place, d) AS (SELECT id, 0 FROM nodes WHERE kind = 'table' UNION SELECT src, d + 1 FROM back JOIN (SELECT DISTINCT src, dst FROM normal) ON dst = place WHERE d < 12)
+SELECT place AS "start", (min(d) + 1)::BIGINT AS n FROM back WHERE d > 0 GROUP BY place""")
 def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = graph.shortest_paths_to_tables(*_normal(spark, sf_dir), max_hops=4)
+    paths = graph.shortest_paths_to_tables(*_normal(spark, sf_dir))
     return paths.select("start", F.size("path").cast("bigint").alias("n"))
 
 
@@ -344,7 +354,8 @@ def reading_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fuzzy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = A.table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("layer"), F.col("p_brand").alias("table"), F.col("p_partkey").alias("ord"))
-    return search.fuzzy_search(nodes, spark.createDataFrame([("rdwdg",), ("Brand#1",), ("bolt",), ("P17",)], "query string"))
+    wanted = A.table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.regexp_replace("p_name", "[aeiou]", "").alias("query")).distinct()
+    return search.fuzzy_search(nodes, wanted)
 
 
 # ---- Generated code ----
@@ -385,12 +396,38 @@ def detected_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect_profiles(files).join(files.groupBy("repo").agg(F.count("*").alias("n_files")), "repo")
 
 
-@query("WITH " + CODEGEN_SQL + " SELECT 'Svc' || l_suppkey || '.findPart' || l_partkey AS qual, '  @Transactional(timeout = 5)' || chr(10) || '  public Order findPart' || l_partkey || '…' AS source FROM lines")
+SOURCE_SQL = """'  @Transactional(timeout = 5)' || chr(10) || '  public Order findPart' || l_partkey || '(String partNo, List<Map<String, Item>> rows) {' || chr(10) || '    // callPart' || l_partkey || '() is gone' || chr(10)
+  || '    String sql = "SELECT * FROM t_part' || l_partkey % 10 || ' WHERE no = ''a(b''" + " AND 1 = 1";' || chr(10) || '    return dao.loadPart' || l_partkey % 10 || '(partNo);' || chr(10) || '  }'"""
+
+
+@query("WITH " + CODEGEN_SQL + ", s AS (SELECT 'Svc' || l_suppkey || '.findPart' || l_partkey AS qual, " + SOURCE_SQL + " AS source FROM lines) SELECT qual, source, source[1:120] || '…' AS short FROM s")
 def method_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut after a number of characters that falls inside the parameters; what stands there is taken out again for comparison."""
     files = _java(spark, sf_dir)
     methods = symbols.extract_symbols(files)["methods"].select("repo", "file", "qual", F.col("start_line").alias("line"), "end_line")
-    return reports.method_source(methods, files, 80).select("qual", F.regexp_replace("source", r"\([A-Z][^…]*", "").alias("source"))
+    return reports.method_source(reports.method_source(methods, files).withColumnRenamed("source", "full"), files, 120).select("qual", F.col("full").alias("source"), F.col("source").alias("short"))
+
+
+@query("WITH " + CODEGEN_SQL + " SELECT 'Svc' || l_suppkey || '.findPart' || l_partkey AS qual, 'select' AS op, 't_part' || l_partkey % 10 AS tables, 'SELECT * FROM t_part' || l_partkey % 10 || ' WHERE no = ''a(b''' AS sql FROM lines")
+def sql_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _java(spark, sf_dir)
+    methods = symbols.extract_symbols(files)["methods"].select("repo", "file", F.col("qual").alias("id"), F.col("start_line").alias("line"), "end_line")
+    found = sqlrefs.sql_literal_statements(methods.withColumn("keyword", F.lit("k")).withColumn("kind", F.lit("unit")), files)
+    return found.select("qual", "op", F.array_join("tables", ",").alias("tables"), "sql")
+
+
+@query("SELECT DISTINCT 'Ann' || l_suppkey || '.find' || l_partkey AS qual, 'select' AS op, 't_part' || l_partkey % 10 AS tables, 'SELECT * FROM t_part' || l_partkey % 10 || ' WHERE no = #{no}' AS sql FROM lineitem")
+def annotation_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqlrefs.mybatis_annotation_statements(A.annotated_files(spark, sf_dir)).select("qual", "op", F.array_join("tables", ",").alias("tables"), "sql")
+
+
+@query("WITH " + CODEGEN_SQL + " SELECT 'n' || s_nationkey AS repo, 'Svc' || l_suppkey || '.findPart' || l_partkey AS qual FROM lines")
+def refreshed_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the files changed and a third is gone since the symbols were extracted."""
+    files = _java(spark, sf_dir)
+    number = F.regexp_extract("path", "Svc([0-9]+)", 1).cast("bigint")
+    before = files.filter(number % 3 > 0).withColumn("sha256", F.when(number % 3 == 1, "old").otherwise(F.col("sha256")))
+    gone = files.filter(number % 3 == 0).withColumn("path", F.concat(F.lit("old/"), "path"))
+    return symbols.refresh_symbols(files, symbols.extract_symbols(before.unionByName(gone), checkpoint=True))["methods"].select("repo", "qual")
 
 
 @query("""
@@ -425,9 +462,9 @@ def link_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked(spark, sf_dir).groupBy("skip_reason").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + LINKED_SQL + " SELECT 'table:' || tab AS id, 'select' AS op, count(DISTINCT (sup, part)) AS n_units, count(DISTINCT sup) AS n_files FROM tab WHERE traced GROUP BY tab")
+@query("WITH " + LINKED_SQL + " SELECT 'table:' || tab AS id, 'select' AS op, md5(string_agg('Map' || sup || '.find' || part, ',' ORDER BY 'res/mapper/Map' || sup || '.xml', part)) AS units_md5, count(DISTINCT sup) AS n_files FROM tab WHERE traced GROUP BY tab")
 def linked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqlrefs.table_nodes(_linked(spark, sf_dir)).select("id", "op", F.size("source_units").cast("bigint").alias("n_units"), F.size("source_files").cast("bigint").alias("n_files"))
+    return sqlrefs.table_nodes(_linked(spark, sf_dir)).select("id", "op", F.md5(F.array_join("source_units", ",")).alias("units_md5"), F.size("source_files").cast("bigint").alias("n_files"))
 
 
 @query("WITH " + LINKED_SQL + " SELECT 'Map' || sup || '.find' || part AS src, 'table:' || tab AS dst, 'select' AS op FROM tab WHERE traced")
@@ -438,10 +475,17 @@ def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + LINKED_SQL + ", known AS (SELECT DISTINCT tab FROM tab WHERE traced AND part % 10 < 5) SELECT tab AS \"table\", 'res/mapper/Map' || sup || '.xml' AS file, 'Map' || sup || '.find' || max(part) AS qual FROM tab WHERE NOT traced AND tab NOT IN (SELECT tab FROM known) GROUP BY tab, sup")
 def unlinked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = _linked(spark, sf_dir)
-    tables = sqlrefs.table_nodes(linked.filter(F.regexp_extract("qual", r"\.find([0-9]+)", 1).cast("bigint") % 10 < 5))
+    tables = sqlrefs.table_nodes(linked.filter(F.regexp_extract("qual", r"\.find([0-9]+)", 1).try_cast("bigint") % 10 < 5))
     return sqlrefs.candidate_tables(linked, tables).select("table", "file", "qual")
 
 
+@query("WITH " + LINKED_SQL + ", known AS (SELECT DISTINCT tab FROM tab WHERE traced AND part % 10 < 5) SELECT tab AS \"table\", 'select' AS op, 'linked' AS status, count(DISTINCT sup) AS n FROM tab WHERE traced AND part % 10 < 5 GROUP BY tab UNION ALL SELECT tab, 'select', 'candidate', count(DISTINCT sup) FROM tab WHERE NOT traced AND tab NOT IN (FROM known) GROUP BY tab")
+def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = _linked(spark, sf_dir)
+    tables = sqlrefs.table_nodes(linked.filter(F.regexp_extract("qual", r"\.find([0-9]+)", 1).try_cast("bigint") % 10 < 5))
+    return reports.table_report(tables, linked).groupBy("table", "op", "status").agg(F.sum(F.size("source_files")).alias("n"))
+
+
 @query("WITH " + LINKED_SQL + ", shown AS (SELECT 'MyBatis XML' AS source, 'select' AS op, CASE WHEN traced THEN 'linked' ELSE 'not in traced call chain' END AS status, count(*) AS n FROM st GROUP BY ALL UNION ALL SELECT 'MyBatis XML', 'delete', 'no tables found', count(DISTINCT sup) FROM st) SELECT * FROM shown")
 def statement_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.statement_report(_linked(spark, sf_dir)).groupBy("source", "op", "status").agg(F.count("*").alias("n"))
@@ -456,7 +500,12 @@ def raw_sql_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlrefs.raw_sql_statements(corpus.select_sql_files(files), units).groupBy("qual").agg(F.count("*").alias("n"))
 
 
-@query()
+# units are kept in the order of their files and lines, tables after them, 300 of both
+@query("WITH " + CODEGEN_SQL + """,
+u AS (SELECT s_nationkey AS k, l_partkey % 10 AS tab, row_number() OVER (PARTITION BY s_nationkey ORDER BY 'Svc' || l_suppkey || '.java', l_partkey) AS place, count(*) OVER (PARTITION BY s_nationkey) AS units FROM lines),
+t AS (SELECT k, tab, min(units) + row_number() OVER (PARTITION BY k ORDER BY tab) AS place FROM u GROUP BY k, tab),
+n AS (SELECT k, 'unit' AS kind, place FROM u UNION ALL SELECT k, 'table', place FROM t)
+SELECT 'n' || k AS repo, 'partNo' AS keyword, count(*) AS nodes, (SELECT count(*) FROM u JOIN t USING (k, tab) WHERE u.k = n.k AND u.place <= 300 AND t.place <= 300) AS edges, count(*) FILTER (kind = 'table') AS tables, 2 * count(*) FILTER (kind = 'unit') AS usages FROM n WHERE place <= 300 GROUP BY k""")
 def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job over generated services: usages of ``partNo``, their call chains, tables and sizes by repo."""
     out = run_profile(_java(spark, sf_dir), spark.createDataFrame([("partNo",)], "keyword string"), PROFILES["java-spring"])
