@@ -124,6 +124,17 @@ def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_from_table(body, F.lit("r"), F.concat(F.lit("src/Ann"), key, F.lit(".java")), F.concat(F.lit("public interface Ann"), key, F.lit(" {\n"), "body", F.lit("}\n")))
 
 
+def crud_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entity, its mapper without methods of its own, and a service that uses it, in one file per part, repo = brand."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    k, t = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 9).cast("string")
+    text = F.concat(
+        F.lit('@TableName("t_x'), t, F.lit('")\nclass Ent'), k, F.lit(" {}\ninterface Map"), k, F.lit(" extends BaseMapper<Ent"), k, F.lit("> {}\npublic class Use"), k, F.lit(" {\n  private final Map"), k,
+        F.lit(" dao;\n  public void saveIt(String no) {\n    dao.insert(no);\n  }\n}\n"),
+    )
+    return corpus_from_table(part, F.col("p_brand"), F.concat(F.lit("src/Use"), k, F.lit(".java")), text)
+
+
 def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python and C# models and their users: one file of each per part, repo = brand."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")

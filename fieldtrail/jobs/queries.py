@@ -327,7 +327,9 @@ def grid_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("col").cast("bigint").alias("col"), "group", "layer", F.col("row_start").cast("bigint").alias("row_start"), F.col("row_end").cast("bigint").alias("row_end"))
 
 
-@query()
+# tables and ends of references alone fill a graph of more nodes than 300
+@query("WITH " + GRAPH_SQL + """, ends AS (SELECT src AS id FROM normal WHERE kind = 'references' UNION SELECT dst FROM normal WHERE kind = 'references')
+SELECT id, kind, layer, label FROM nodes ORDER BY CASE WHEN kind = 'table' OR id IN (FROM ends) THEN 0 ELSE 1 END, ord NULLS LAST LIMIT 300""")
 def capped_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.truncate_graph(*_normal(spark, sf_dir))[0].select("id", "kind", "layer", "label")
 
@@ -340,15 +342,33 @@ def path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("start", F.size("path").cast("bigint").alias("n"))
 
 
-@query()
+PATHS_SQL = GRAPH_SQL + """,
+back(place, d) AS (SELECT id, 0 FROM nodes WHERE kind = 'table' UNION SELECT src, d + 1 FROM back JOIN (SELECT DISTINCT src, dst FROM normal) ON dst = place WHERE d < 11),
+near AS (SELECT place AS id, min(d) AS d FROM back GROUP BY place),
+onward AS (SELECT src, arg_min(dst, (d, ord)) AS dst FROM normal JOIN near ON id = dst GROUP BY src),
+way(start, here, path) AS (SELECT id, id, [id] FROM nodes WHERE kind = 'unit' UNION ALL SELECT start, dst, list_append(path, dst) FROM way JOIN onward ON src = here WHERE NOT starts_with(here, 'table:') AND len(path) < 13),
+first AS (SELECT start, path, CASE WHEN layer = 'Controller' THEN 0 WHEN start NOT IN (SELECT dst FROM normal) THEN 1 WHEN usages > 0 THEN 2 ELSE 3 END AS tier, ord FROM way JOIN nodes ON id = start WHERE starts_with(here, 'table:')),
+shown AS (SELECT *, '>' || array_to_string(path, '>') || '>' AS line, row_number() OVER (ORDER BY tier, ord) AS place FROM first),
+ranked AS (SELECT row_number() OVER (ORDER BY place) AS rank, path FROM shown a WHERE NOT EXISTS (SELECT 1 FROM shown b WHERE b.place < a.place AND contains(b.line, a.line)))"""
+
+
+@query("WITH RECURSIVE " + PATHS_SQL + """ SELECT rank::BIGINT AS rank, array_to_string(path, '>') AS nodes, (SELECT string_agg(layer, '>' ORDER BY i) FROM (SELECT unnest(path) AS id, unnest(generate_series(1, len(path))) AS i) p JOIN nodes USING (id)) AS layers, path[-1][7:] AS "table" FROM ranked WHERE rank <= 4""")
 def main_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.main_paths(*_normal(spark, sf_dir)).select("rank", F.array_join("nodes", ">").alias("nodes"), F.array_join("layers", ">").alias("layers"), "table")
+    return graph.main_paths(*_normal(spark, sf_dir)).select(F.col("rank").cast("bigint").alias("rank"), F.array_join("nodes", ">").alias("nodes"), F.array_join("layers", ">").alias("layers"), "table")
 
 
-@query()
+@query("WITH RECURSIVE " + PATHS_SQL + ", member AS (SELECT unnest(path) AS id FROM ranked WHERE rank <= 4), pair AS (SELECT unnest(path[:-2]) AS src, unnest(path[2:]) AS dst FROM ranked WHERE rank <= 4) SELECT 'node' AS kind, id, NULL AS dst FROM (SELECT DISTINCT id FROM member) UNION ALL SELECT DISTINCT 'edge', src, dst FROM pair")
+def path_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph.main_path_members(graph.main_paths(*_normal(spark, sf_dir)))
+    return nodes.select(F.lit("node").alias("kind"), "id", F.lit(None).cast("string").alias("dst")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("id"), "dst"))
+
+
+@query("WITH RECURSIVE " + PATHS_SQL + """, p(layer, rank) AS (VALUES ('Controller', 0), ('Service', 1), ('Repository', 2), ('Table', 3), ('Other', 4)),
+stops AS (SELECT -1 AS spot, 'Main path' AS title, len(path) AS n FROM ranked WHERE rank = 1 UNION ALL SELECT rank, layer, count(*) FROM nodes JOIN p USING (layer) GROUP BY rank, layer)
+SELECT row_number() OVER (ORDER BY spot) AS step, title, n FROM stops""")
 def reading_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _normal(spark, sf_dir)
-    return graph.tour(graph.main_paths(nodes, edges), graph.build_layers(nodes)).select("step", "title", F.size("node_ids").alias("n"))
+    return graph.tour(graph.main_paths(nodes, edges), graph.build_layers(nodes)).select(F.col("step").cast("bigint").alias("step"), "title", F.size("node_ids").cast("bigint").alias("n"))
 
 
 @query()
@@ -441,6 +461,34 @@ def mapped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("repo", "source", "qual", "op", F.array_join("tables", ",").alias("tables"))
 
 
+@query("SELECT p_brand AS repo, 'Use' || p_partkey || '.saveIt' AS qual, 'insert' AS op, 't_x' || p_partkey % 9 AS tables, 'Map' || p_partkey || '.insert' AS call FROM part")
+def crud_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = A.crud_files(spark, sf_dir)
+    tables = symbols.extract_symbols(files, checkpoint=True)
+    units = tables["methods"].select("repo", F.lit("k").alias("keyword"), F.col("qual").alias("id"), F.lit("unit").alias("kind"), "file")
+    return orm.mybatis_plus_statements(units, tables, files).select("repo", "qual", "op", F.array_join("tables", ",").alias("tables"), F.col("statement_id").alias("call"))
+
+
+@query("SELECT 'm' AS kind, 'C' || p_partkey || '.find' AS name, p_size || '-' || p_size + 3 || ':no' AS detail FROM part UNION ALL SELECT 'f', 'C' || p_partkey || '.dao', p_brand FROM part UNION ALL SELECT 'i', 'C' || p_partkey, 'Base' || p_size FROM part UNION ALL SELECT 'c', 'C' || p_partkey || '.find', 'dao.load@' || p_size + 1 FROM part")
+def symbols_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = A.table(spark, sf_dir, "part")
+    cls = F.concat(F.lit("C"), F.col("p_partkey").cast("string"))
+    record = F.struct(
+        F.array(F.struct(F.concat(cls, F.lit(".find")).alias("qual"), F.lit("find").alias("name"), cls.alias("cls"), F.col("p_size").alias("start_line"), (F.col("p_size") + 3).alias("end_line"), F.create_map(F.lit("no"), F.lit("String")).alias("params"))).alias("methods"),
+        F.array(F.struct(cls.alias("cls"), F.lit("dao").alias("name"), F.col("p_brand").alias("type"))).alias("fields"),
+        F.create_map(cls, F.array(F.concat(F.lit("Base"), F.col("p_size").cast("string")))).alias("inheritance"),
+        F.array(F.struct(F.concat(cls, F.lit(".find")).alias("caller_qual"), F.lit("load").alias("callee_name"), F.lit("dao").alias("receiver"), (F.col("p_size") + 1).alias("line"))).alias("calls"),
+    )
+    t = corpus.symbols_from_json(part.select(F.lit("r").alias("repo"), F.concat(cls, F.lit(".java")).alias("path"), F.to_json(record).alias("json")))
+    row = lambda df, kind, name, detail: df.select(F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"))
+    c = F.col
+    return graph.union_all([
+        row(t["methods"], "m", c("qual"), F.concat(c("start_line").cast("string"), F.lit("-"), c("end_line").cast("string"), F.lit(":"), F.array_join(F.map_keys("params"), ","))),
+        row(t["fields"], "f", F.concat_ws(".", "cls", "name"), c("type")), row(t["inheritance"], "i", c("cls"), c("parent")),
+        row(t["calls"], "c", c("caller_qual"), F.concat(c("receiver"), F.lit("."), c("callee_name"), F.lit("@"), c("line").cast("string"))),
+    ])
+
+
 # ---- Linked statements and reports ----
 
 LINKED_SQL = """
@@ -491,7 +539,7 @@ def statement_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.statement_report(_linked(spark, sf_dir)).groupBy("source", "op", "status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("WITH " + STATEMENT_SQL + ", word AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT 'Unit.find_' || w AS qual, count(*) AS n FROM word JOIN text ON contains(lower(sql), lower(w)) WHERE p_partkey % 4 < 2 AND length(w) > 2 AND w <> 'new' GROUP BY w")
 def raw_sql_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _statement_texts(spark, sf_dir)
     files = corpus.corpus_from_table(rows, F.lit("parts"), F.concat(F.lit("sql/q"), F.col("p_partkey").cast("string"), F.lit(".sql")), F.col("sql"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,38 +137,38 @@ def graph_counts(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEY)
 
 
 def shortest_paths_to_tables(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None, max_hops: int = 12, keys: Sequence[str] = KEY) -> DataFrame:
-    """(keys, start, path): for each start (keys, id; all nodes if not given) the shortest path to the nearest table, ties by edge order.
+    """(keys, start, path): for each start (keys, id; all units if not given) the shortest path to the nearest table, ties by edge order.
 
-    A breadth-first search from all starts at once: a start's frontier keeps for each node the path whose edge numbers come
-    first. Edges that cannot lead to a table any more are not followed. Needs a checkpoint folder.
+    Distances to the nearest table spread backwards from the tables, a level at a time. A node's next step is its first edge
+    to a node that is nearer, and starts follow these steps: the work is that of the edges for each level, however
+    many starts there are. A table has no path. Needs a checkpoint folder.
     """
     tables = nodes.filter("kind = 'table'").select(*keys, "id").distinct()
-    useful = _leading_to(tables, edges, max_hops, keys)
+    near = _distances(tables, edges, max_hops - 1, keys)
+    steps = edges.select(*keys, "src", "dst", "ord").join(near.withColumnRenamed("id", "dst"), [*keys, "dst"])
+    step = F.min_by(F.struct("dst", "dist"), F.struct("dist", "ord", "dst"))
+    steps = steps.groupBy(*keys, F.col("src").alias("at")).agg(step.alias("s")).select(*keys, "at", F.col("s.dst").alias("next"), F.col("s.dist").alias("left")).checkpoint()
     starts = nodes if starts is None else starts
-    steps = edges.join(useful.withColumnRenamed("id", "dst"), [*keys, "dst"], "left_semi").groupBy(*keys, "src", "dst").agg(F.min("ord").alias("ord"))
-    frontier = starts.select(*keys, F.col("id").alias("start")).distinct().select(*keys, "start", F.col("start").alias("at"), F.array("start").alias("path"), F.array().cast("array<bigint>").alias("order"))
-    seen = frontier.select(*keys, "start", "at")
+    frontier = starts.select(*keys, "id").distinct().join(tables, [*keys, "id"], "left_anti").select(*keys, F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"))
     done = None
     for _ in range(max_hops):
-        step = frontier.join(steps, [*[frontier[k] == steps[k] for k in keys], frontier["at"] == steps["src"]])
-        step = step.select(*[frontier[k] for k in keys], "start", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("order", F.col("ord").cast("bigint")).alias("order"))
-        step = step.join(seen, [*keys, "start", "at"], "left_anti").groupBy(*keys, "start", "at").agg(F.min(F.struct("order", "path")).alias("b")).select(*keys, "start", "at", "b.*").checkpoint()
-        if step.isEmpty():
+        moved = frontier.join(steps, [*keys, "at"]).select(*keys, "start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), "left").checkpoint()
+        if moved.isEmpty():
             break
-        hit = step.join(tables.withColumnRenamed("id", "at"), [*keys, "at"], "left_semi").groupBy(*keys, "start").agg(F.min(F.struct("order", "path")).alias("b")).select(*keys, "start", "b.path").checkpoint()
+        hit = moved.filter("left = 0").select(*keys, "start", "path")
         done = hit if done is None else done.unionByName(hit)
-        frontier = step.join(hit, [*keys, "start"], "left_anti")
-        seen = seen.unionByName(step.select(*keys, "start", "at"))
+        frontier = moved.filter("left > 0").drop("left")
     empty = starts.limit(0).select(*keys, F.col("id").alias("start"), F.array("id").alias("path"))
     return empty if done is None else done
 
 
-def _leading_to(targets: DataFrame, edges: DataFrame, max_hops: int, keys: Sequence[str]) -> DataFrame:
-    """Nodes from which a target can be reached, with the targets."""
-    reached = frontier = targets.checkpoint()
+def _distances(targets: DataFrame, edges: DataFrame, most: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, dist) of nodes from which a target can be reached in ``most`` steps, with the targets."""
+    reached = frontier = targets.withColumn("dist", F.lit(0)).checkpoint()
     back = edges.select(*keys, F.col("dst").alias("id"), F.col("src").alias("next")).distinct()
-    for _ in range(max_hops):
-        frontier = frontier.join(back, [*keys, "id"]).select(*keys, F.col("next").alias("id")).distinct().join(reached, [*keys, "id"], "left_anti").checkpoint()
+    for dist in range(1, most + 1):
+        met = frontier.join(back, [*keys, "id"]).select(*keys, F.col("next").alias("id")).distinct()
+        frontier = met.join(reached, [*keys, "id"], "left_anti").withColumn("dist", F.lit(dist)).checkpoint()
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
@@ -187,16 +186,17 @@ def main_paths(nodes: DataFrame, edges: DataFrame, k: int = 4, keys: Sequence[st
     paths = shortest_paths_to_tables(nodes, edges, starts, keys=keys)
     ranked = paths.join(starts.withColumnRenamed("id", "start"), [*keys, "start"]).select(*keys, "tier", "ord", "path")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[list[str]] = []
-        for path in map(list, pdf.sort_values(["tier", "ord"], kind="stable")["path"]):
-            if len(taken) < k and not any(path == t[i : i + len(path)] for t in taken for i in range(len(t) - len(path) + 1)):
-                taken.append(path)
-        out = pd.DataFrame({"rank": range(1, len(taken) + 1), "nodes": taken})
-        return out.assign(**{key: pdf[key].iloc[0] for key in keys})[[*keys, "rank", "nodes"]]
-
-    kinds = ", ".join(f"{key} {nodes.schema[key].dataType.simpleString()}" for key in keys)
-    picked = ranked.groupBy(*keys).applyInPandas(pick, f"{kinds}, rank int, nodes array<string>")
+    # a round takes the first path that is left in each graph, and leaves out the parts of it
+    line = lambda c: F.concat(F.lit("\0"), F.array_join(c, "\0"), F.lit("\0"))
+    left = ranked.withColumn("line", line(F.col("path"))).checkpoint()
+    rounds = []
+    for rank in range(1, k + 1):
+        taken = left.groupBy(*keys).agg(F.min_by(F.struct("path", "line"), F.struct("tier", "ord", "path")).alias("t")).checkpoint()
+        if taken.isEmpty():
+            break
+        rounds.append(taken.select(*keys, F.lit(rank).alias("rank"), F.col("t.path").alias("nodes")))
+        left = left.join(taken.select(*keys, F.col("t.line").alias("whole")), list(keys)).filter(~F.contains("whole", "line")).drop("whole").checkpoint()
+    picked = union_all(rounds) if rounds else ranked.limit(0).select(*keys, F.lit(0).alias("rank"), F.col("path").alias("nodes"))
     table = _or_null(nodes, "table")
     facts = nodes.select(*keys, F.col("id").alias("node"), F.coalesce("label", "id").alias("label"), F.coalesce("layer", F.lit("")).alias("layer"), F.coalesce(table, F.col("label"), F.lit("")).alias("table"))
     each = picked.select(*keys, "rank", "nodes", F.posexplode("nodes").alias("at", "node")).join(facts, [*keys, "node"])
@@ -234,7 +234,8 @@ def truncate_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 300, key
     seeds = big.join(any_used, keys, "left").filter(used | (F.col("has_used").isNull() & (F.col("ord") == F.col("first"))))
     steps = edges.select(*keys, F.col("src").alias("id"), F.col("dst").alias("next"), F.col("ord").alias("step")).join(big.select(*keys, F.col("id").alias("next")), [*keys, "next"], "left_semi")
     by = Window.partitionBy(*keys)
-    frontier = seeds.select(*keys, "id", F.lit(0).alias("level"), F.row_number().over(by.orderBy("ord")).alias("place")).checkpoint()
+    # places only have to grow in the order of a sort, which splits large graphs
+    frontier = seeds.orderBy(*keys, "ord").select(*keys, "id", F.lit(0).alias("level"), F.monotonically_increasing_id().alias("place")).checkpoint()
     walked, level, met = frontier, 0, None
     while not frontier.isEmpty():
         # enough was met once the walk alone fills every graph
@@ -243,7 +244,7 @@ def truncate_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 300, key
         fresh = found.join(walked, [*keys, "id"], "left_anti")
         met = walked.groupBy(*keys).agg(F.count("*").alias("met"))
         fresh = fresh.join(met.filter(F.col("met") < max_nodes), keys, "left_semi")
-        frontier = fresh.select(*keys, "id", F.lit(level).alias("level"), F.row_number().over(by.orderBy("b", "id")).alias("place")).checkpoint()
+        frontier = fresh.orderBy(*keys, "b", "id").select(*keys, "id", F.lit(level).alias("level"), F.monotonically_increasing_id().alias("place")).checkpoint()
         walked = walked.unionByName(frontier).checkpoint()
     ranked = big.join(refs, [*keys, "id"], "left").join(walked, [*keys, "id"], "left")
     tier = F.when((F.col("kind") == "table") | F.col("ref"), 0).when(F.col("level").isNotNull(), 1).otherwise(2)
@@ -274,9 +275,13 @@ def grid_order(nodes: DataFrame, layer_order: Sequence[str] = LAYER_ORDER, keys:
     other = next((layer_order.index(x) for x in ("Other", "Unknown") if x in layer_order), 0)
     col = F.coalesce(*[F.when(F.col("layer") == name, i) for i, name in enumerate(layer_order)], F.lit(other))
     df = nodes.withColumn("col", col).withColumn("group", class_of_node(nodes))
-    by = Window.partitionBy(*keys, "col")
-    label = F.coalesce("label", "id")
-    return df.withColumn("row", F.row_number().over(by.orderBy("group", label, "ord")) - 1 + 2 * (F.dense_rank().over(by.orderBy("group")) - 1))
+    # windows hold the classes of a layer, and the nodes of a class
+    by = Window.partitionBy(*keys, "col").orderBy("group")
+    before = F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n") + 2 * (F.row_number().over(by) - 1)
+    groups = df.groupBy(*keys, "col", "group").agg(F.count("*").alias("n")).select(*keys, "col", "group", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "col", "group").orderBy(F.coalesce("label", "id"), "ord"))
+    placed = df.join(groups, [*keys, "col", "group"]).withColumn("row", (F.col("before") + place - 1).cast("int"))
+    return placed.select(*df.columns, "row")
 
 
 def class_groups(placed: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

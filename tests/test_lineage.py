@@ -264,3 +264,16 @@ def test_main_paths_leave_out_parts_of_taken_ones(spark):
     edges = [("r", "k", "a", "b", "call", "confirmed", 0), ("r", "k", "b", "table:t", "references", "confirmed", 1), ("r", "k", "c", "b", "call", "confirmed", 2)]
     got = graph.main_paths(*frames(spark, nodes, edges)).orderBy("rank").collect()
     assert [list(r["nodes"]) for r in got] == [["a", "b", "table:t"], ["c", "b", "table:t"]] and got[0]["table"] == "t"
+
+
+def test_usages_of_many_are_the_same_on_all_paths(spark):
+    """Repeated files repeat their sites, however the words meet the lines."""
+    text = "int shelfNo = shelf_no + getShelfNo();\nx // shelfNo\n"
+    files = spark.createDataFrame([("r", "a.java", text), ("r", "a.java", text), ("r", "b.java", "shelfNos.add(boxNo);"), ("s", "c.java", None)], "repo string, path string, text string")
+    words = spark.createDataFrame([("shelfNo",), ("boxNo",), ("none",)], "keyword string")
+    shown = lambda df: sorted(map(tuple, df.select("repo", "file", "line", "col", "occurrence_type", "snippet").collect()))
+    one = shown(discover.find_usages(files, "shelfNo"))
+    assert len(one) == 2 * 3 + 1
+    for most in (10_000, 0):
+        many = discover.find_usages_many(files, words, max_broadcast=most)
+        assert shown(many.filter("keyword = 'shelfNo'")) == one and many.filter("keyword = 'boxNo'").count() == 1
