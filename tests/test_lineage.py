@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldtrail.functions.extractors import EXTRACTORS
 from fieldtrail.jobs.run import run
-from fieldtrail.operators import detect, graph, orm, sqlrefs, symbols, trace
+from fieldtrail.operators import detect, discover, graph, orm, sqlrefs, symbols, trace
 from fieldtrail.sources import corpus
 
 CONTROLLER = """package c;
