@@ -1,6 +1,7 @@
 """Language, toxicity, quality, licences, URLs and pages."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -337,3 +338,31 @@ def test_articles_of_all_pages(spark):
 def test_folds(spark):
     rows = Q.op8_language(spark, SF).select("doc_id", "held_out").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows) and F is not None
+
+
+def test_license_base_places_against_all_places():
+    rnd = random.Random(11)
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    scanner = licenses.LicenseScanner()
+    for _ in range(200):
+        text = " ".join(rnd.choice(["MIT", "license", "License", "apache", "general", "public", "x-license", "mit;license", "é"]) for _ in range(rnd.randrange(30)))
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+        places = [(k, label) for k in range(len(words)) for label, p in phrases.items() if words[k : k + len(p)] == p]
+        got = scanner.scan(text)
+        assert (got["n_words"], got["n_base"]) == (len(words), len(places))
+        assert (got["first_word"], got["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert got["base_labels"] == ",".join(sorted({label for _, label in places}))
+
+
+def test_very_long_texts(spark):
+    """Whole texts are read, whatever their length; what stands at the end counts."""
+    long = "the thing of the other day\n" * 20_000
+    docs = spark.createDataFrame([(1, long + "mit license moron")], "doc_id long, text string")
+    assert licenses.scan(docs).first()["base_labels"] == "mit"
+    assert quality.judge(docs, quality.fit_crf([], [])).first()["n_words"] == 120_003
+    assert toxicity.score(docs, toxicity.ToxicityModel([("moron", False, 0.99)], 0.01)).first()["toxicity"] > 0.9
+    model = langid.fit(spark.createDataFrame([(1, "the thing of the day", "en"), (2, "der tag und die nacht", "de")], "doc_id long, text string, lang string"))
+    assert langid.identify(docs, model).first()["lang_pred"] == "en"
+    page = "<article>" + "<p>It was a long day in the town, and nobody came.</p>" * 5_000 + "<p>The end of it.</p></article>"
+    got = maintext.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"]
+    assert got.count("\n\n") == 5_000 and got.endswith("The end of it.")
