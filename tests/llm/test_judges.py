@@ -366,3 +366,16 @@ def test_very_long_texts(spark):
     page = "<article>" + "<p>It was a long day in the town, and nobody came.</p>" * 5_000 + "<p>The end of it.</p></article>"
     got = maintext.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"]
     assert got.count("\n\n") == 5_000 and got.endswith("The end of it.")
+
+
+def test_bodies_of_licences():
+    """A body with words changed, lines wrapped and a name put in still counts; half of one does not."""
+    scanner = licenses.LicenseScanner()
+    for label, body in licenses.TEMPLATES[-7:]:
+        words = body.split()
+        changed = words[:30] + ["by", "ACME,", "Inc."] + words[30:60] + words[61:]
+        text = "Copyright (c) 2020 A. Author\n\n" + "\n".join(" * " + " ".join(changed[k : k + 9]) for k in range(0, len(changed), 9))
+        got = scanner.scan(text)
+        assert label in got["labels"].split(",") and got["score"] > 0.9, label
+        assert any(x["label"] == label and x["last"] - x["first"] > 0.9 * len(words) for x in got["spans"])
+    assert "isc" not in scanner.scan(" ".join(licenses.TEMPLATES[-5][1].split()[:40]))["labels"]
