@@ -12,10 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores. A small file has one row group, which is one task; tables of more parts than twice the cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(4 * cores)
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: repo = lang, path = source/doc<id>.txt."""
     path = F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return corpus_from_table(table(spark, sf_dir, "documents"), F.col("lang"), path, F.col("text"))
+    return corpus_from_table(spread(table(spark, sf_dir, "documents")), F.col("lang"), path, F.col("text"))
 
 
 def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
