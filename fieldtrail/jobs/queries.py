@@ -556,7 +556,8 @@ n AS (SELECT k, 'unit' AS kind, place FROM u UNION ALL SELECT k, 'table', place
 SELECT 'n' || k AS repo, 'partNo' AS keyword, count(*) AS nodes, (SELECT count(*) FROM u JOIN t USING (k, tab) WHERE u.k = n.k AND u.place <= 300 AND t.place <= 300) AS edges, count(*) FILTER (kind = 'table') AS tables, 2 * count(*) FILTER (kind = 'unit') AS usages FROM n WHERE place <= 300 GROUP BY k""")
 def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job over generated services: usages of ``partNo``, their call chains, tables and sizes by repo."""
-    out = run_profile(_java(spark, sf_dir), spark.createDataFrame([("partNo",)], "keyword string"), PROFILES["java-spring"])
+    # the services are made from order lines, which takes longer than to read them
+    out = run_profile(_java(spark, sf_dir).checkpoint(), spark.createDataFrame([("partNo",)], "keyword string"), PROFILES["java-spring"])
     return out["counts"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +15,20 @@ from fieldtrail.functions.extractors import EXTRACTORS
 _RAW = "repo string, file string, kind string, ord int, cls string, name string, qual string, type string, receiver string, start_line int, end_line int, params map<string,string>"
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole, word = pa.int32(), pa.string()
+    kinds = [word, word, word, whole, word, word, word, word, word, whole, whole, pa.map_(word, word)]
+    names = [c.split()[0] for c in _RAW.split(", ")]
     for batch in batches:
         rows = []
-        for repo, file, ext, text in batch[["repo", "path", "ext", "text"]].itertuples(index=False):
+        for repo, file, ext, text in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "ext", "text")), strict=True):
             s = EXTRACTORS[ext](text)
-            rows += [(repo, file, "method", i, cls, name, qual, None, None, a, b, params) for i, (qual, name, cls, a, b, params) in enumerate(s.methods)]
+            rows += [(repo, file, "method", i, cls, name, qual, None, None, a, b, list(params.items())) for i, (qual, name, cls, a, b, params) in enumerate(s.methods)]
             rows += [(repo, file, "field", i, cls, name, None, kind, None, None, None, None) for i, (cls, name, kind) in enumerate(s.fields)]
             rows += [(repo, file, "supertype", i, cls, None, None, parent, None, None, None, None) for i, (cls, parent) in enumerate(s.supertypes)]
             rows += [(repo, file, "call", i, None, name, caller, None, receiver, line, None, None) for i, (caller, name, receiver, line) in enumerate(s.calls)]
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _RAW.split(", ")])
-        yield out.astype({"start_line": "Int32", "end_line": "Int32"})
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def extract_symbols(files: DataFrame, checkpoint: bool = False) -> dict[str, DataFrame]:
@@ -35,7 +38,7 @@ def extract_symbols(files: DataFrame, checkpoint: bool = False) -> dict[str, Dat
     are parsed once for all tables; without it each table that is used parses them.
     """
     known = files.filter(F.col("ext").isin(*EXTRACTORS)).select("repo", "path", "ext", "text")
-    raw = known.mapInPandas(_extract, _RAW)
+    raw = known.mapInArrow(_extract, _RAW)
     raw = raw.checkpoint() if checkpoint else raw
     kind = lambda k: raw.filter(F.col("kind") == k)
     return {
