@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrail.llm import decontaminate, langid, licenses, maintext, neardup, packing, quality, substring, toxicity, urlfilter
+from fieldtrail.llm import decontaminate, dialogue, langid, licenses, linededup, maintext, neardup, packing, quality, substring, toxicity, urlfilter, whitening
 from fieldtrail.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+    return found.select(F.col("conv").alias("conv_id"), *dialogue.COUNTS, "audit", "repaired_sha256")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_main_text, op4_decontamination, op5_url_filter, op6_licenses, op7_quality, op8_language, op9_near_duplicates, op10_toxicity)}
+    return {
+        f.__name__: f
+        for f in (op1_substring_dedup, op2_packing, op3_main_text, op4_decontamination, op5_url_filter, op6_licenses, op7_quality, op8_language, op9_near_duplicates, op10_toxicity,
+                  op11_whitening, op12_conversation_repair, op13_line_dedup)
+    }
 
 
 #: DuckDB: every window of every document by its words' md5, and the least document that has it.
@@ -125,5 +144,66 @@ FROM k LEFT JOIN said USING (key)
 """
 
 
+#: DuckDB: crc32 by its bitwise rule; then the least (cost, audit) of each of four states, layer after layer, and the repaired rows from the audit.
+OP12_SQL = r"""
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM coded)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, E' \t\n\x0b\x0c\r') AS bare FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before_ini
+  FROM numbered),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before_ini || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faulty GROUP BY conv_id),
+walk(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, {'c': 0::BIGINT, 'a': ''}, {'c': 1000000000::BIGINT, 'a': ''}, {'c': 1000000000::BIGINT, 'a': ''}, {'c': 1000000000::BIGINT, 'a': ''} FROM counts
+  UNION ALL
+  SELECT conv_id, i,
+    {'c': s0.c + 4, 'a': s0.a || 'D'},
+    list_min([{'c': s1.c + 4, 'a': s1.a || 'D'}, {'c': CASE WHEN keep AND ini = 's' THEN s0.c + extra ELSE 2000000000 END, 'a': s0.a || 'K'}]),
+    list_min([{'c': s2.c + 4, 'a': s2.a || 'D'}, {'c': CASE WHEN keep THEN p.c + extra + CASE WHEN ini = 'u' THEN 0 ELSE 3 END ELSE 2000000000 END, 'a': p.a || CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END}]),
+    list_min([{'c': s3.c + 4, 'a': s3.a || 'D'}, {'c': CASE WHEN keep THEN s2.c + extra + CASE WHEN ini = 'a' THEN 0 ELSE 3 END ELSE 2000000000 END, 'a': s2.a || CASE WHEN ini = 'a' THEN 'K' ELSE 'R' END}])
+  FROM (
+    SELECT o.*, list_min([o.s0, o.s1, o.s3]) AS p, f.ini, f.fault NOT IN ('blank', 'duplicate') AS keep, CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END AS extra
+    FROM (
+      SELECT conv_id, i + 1 AS i, s0, s1, s2, list_min([s3, {'c': s2.c + 3, 'a': s2.a || 'I'}]) AS s3
+      FROM (SELECT conv_id, i, s0, s1, s3, list_min([s2, {'c': s0.c + 3, 'a': s0.a || 'I'}, {'c': s1.c + 3, 'a': s1.a || 'I'}, {'c': s3.c + 3, 'a': s3.a || 'I'}]) AS s2 FROM walk)) o
+    JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM o.conv_id AND f.i = o.i)),
+ended AS (
+  SELECT w.conv_id, list_min([s0, s3, {'c': s2.c + 3, 'a': s2.a || 'I'}, {'c': s0.c + 6, 'a': s0.a || 'II'}, {'c': s1.c + 6, 'a': s1.a || 'II'}]) AS best
+  FROM walk w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n),
+letters AS (SELECT conv_id, p, best.a[p] AS letter FROM (SELECT conv_id, best, unnest(range(1, length(best.a) + 1)) AS p FROM ended)),
+placed AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS q, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id) AS total FROM letters),
+repaired AS (
+  SELECT p.conv_id, string_agg(CASE WHEN letter = 'K' THEN f.role WHEN (q - total % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY p) AS body
+  FROM placed p LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i WHERE letter <> 'D' GROUP BY p.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.best.c, 0) AS cost, coalesce(e.best.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+#: DuckDB: lines, keys, distinct documents of a key, and the lines that stay.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, common.key IS NOT NULL AND k.doc_id <> common.last AS gone FROM k LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_url_filter": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op12_conversation_repair": OP12_SQL, "op13_line_dedup": OP13_SQL}
