@@ -44,11 +44,16 @@ class Whitening:
         out = []
         for k in range(min(components, len(self.sums))):
             e = float(self.values[k])
-            terms = [(F.col(x)[i] - F.lit(s / self.n)) * F.lit(float(self.vectors[i, k])) for i, s in enumerate(self.sums)]
+            terms = [(_entry(x, i) - F.lit(s / self.n)) * F.lit(float(self.vectors[i, k])) for i, s in enumerate(self.sums)]
             out.append(_tree(terms) / F.lit(e**0.5) if e > least else F.lit(None).cast("double"))
         return out
 
 
+def _entry(x: str, i: int):
+    """Entry ``i`` of a whole vector. It is never null, and saying so spares the many sums their null checks."""
+    return F.coalesce(F.get(F.col(x), F.lit(i)), F.lit(0).cast("long"))
+
+
 def _tree(terms: list):
     """The sum of columns as a balanced tree."""
     while len(terms) > 1:
@@ -66,8 +71,8 @@ def fit(vectors: DataFrame, x: str = "x", components: int = 4, pairs_at_once: in
     n, dim = first[0], first[1] or 0
     if not n:
         return None
-    sums = [int(v) for v in distinct.agg(*(F.sum(F.col("x")[i].cast("decimal(28,0)")) for i in range(dim))).first()]
-    centred = distinct.select(*((F.col("x")[i] - F.lit(s / n)).alias(f"c{i}") for i, s in enumerate(sums)))
+    sums = [int(v) for v in distinct.agg(*(F.sum(_entry("x", i).cast("decimal(28,0)")) for i in range(dim))).first()]
+    centred = distinct.select(*((_entry("x", i) - F.lit(s / n)).alias(f"c{i}") for i, s in enumerate(sums)))
     pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
     matrix = np.zeros((dim, dim))
     for k in range(0, len(pairs), pairs_at_once):
@@ -102,7 +107,7 @@ def whiten(rows: DataFrame, vec_col: str = "embedding", components: int = 4) ->
     model = fit(found, xs, components)
     if model is None:
         model = Whitening(1, [0], np.zeros(1), np.ones((1, 1)), 0.0)
-    off = [F.col(xs)[i].cast("decimal(19,0)") * F.lit(model.n).cast("decimal(19,0)") - F.lit(s).cast("decimal(38,0)") for i, s in enumerate(model.sums)]
+    off = [_entry(xs, i).cast("decimal(19,0)") * F.lit(model.n).cast("decimal(19,0)") - F.lit(s).cast("decimal(38,0)") for i, s in enumerate(model.sums)]
     deviation = _tree([(o.cast("decimal(19,0)") * o.cast("decimal(19,0)")).cast("decimal(38,0)") for o in off]).cast("decimal(38,0)")
     each = F.array(*(F.struct(F.lit(k + 1).alias("component"), w.alias("whitened"), F.lit(float(model.values[k] / model.trace) if model.trace else 0.0).alias("explained")) for k, w in enumerate(model.projections(xs, components))))
     out = found.select(*carried, deviation.alias("deviation" + tag), F.explode(each).alias(parts))
