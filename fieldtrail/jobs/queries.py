@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from fieldtrail.jobs import adapters as A
 from fieldtrail.jobs.run import run_profile
 from fieldtrail.operators import detect, discover, graph, orm, reports, search, sqlrefs, symbols, trace
 from fieldtrail.profiles import PROFILES, Layer
-from fieldtrail.sources import corpus
+from fieldtrail.sources import corpus, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYWORDS = ["the", "and", "der", "que", "ation"]
@@ -98,6 +99,20 @@ def usages_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.groupBy("repo", "keyword", "layer").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
 
 
+@query("WITH " + CODEGEN_SQL + """, at AS (SELECT *, 6 * row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 0 AS line FROM lines),
+f AS (SELECT 'n' || s_nationkey AS repo, 'src/service/Svc' || l_suppkey || '.java' AS file, l_partkey AS p, line FROM at)
+SELECT repo, file, 'findPart' || p AS keyword, line::BIGINT AS line, 16::BIGINT AS col, 'definition' AS occurrence_type FROM f
+UNION ALL SELECT repo, file, 'loadPart' || p % 10, (line + 3)::BIGINT, 16, 'identifier' FROM f
+UNION ALL SELECT repo, file, 't_part' || p % 10, (line + 2)::BIGINT, 34, 'identifier' FROM f""")
+def usages_sharing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword for each part, all of which begin with the same words, and twenty names whose first words stand in every method."""
+    key = F.col("p_partkey").cast("string")
+    names = F.array(F.concat(F.lit("findPart"), key), F.concat(F.lit("loadPart"), (F.col("p_partkey") % 10).cast("string")), F.concat(F.lit("t_part"), (F.col("p_partkey") % 10).cast("string")))
+    keywords = A.table(spark, sf_dir, "part").select(F.explode(names).alias("keyword")).distinct()
+    sites = discover.find_usages_many(_java(spark, sf_dir), keywords)
+    return sites.select("repo", "file", "keyword", F.col("line").cast("bigint").alias("line"), F.col("col").cast("bigint").alias("col"), "occurrence_type")
+
+
 @query("WITH " + LINES_SQL + " SELECT repo, file, line::BIGINT AS line, (length(regexp_extract(line_text, '^(.*?)(?i:licen[sc]ed?)', 1)) + 1)::BIGINT AS col, line_text AS text FROM lines WHERE regexp_matches(line_text, '(?i)licen[sc]ed?')")
 def grep_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = discover.grep_lines(A.document_files(spark, sf_dir), "(?i)licen[sc]ed?")
@@ -167,9 +182,7 @@ def incremental_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("file", "doc([0-9]+)", 1).cast("bigint")
     manifest = files.select("repo", F.col("path").alias("file"), "sha256").withColumn("sha256", F.when(number % 3 == 0, F.lit("old")).otherwise(F.col("sha256")))
     manifest = manifest.unionByName(manifest.filter(number % 5 == 0).withColumn("file", F.concat(F.lit("old/"), "file")))
-    parts = symbols.diff_manifest(files, manifest)
-    here = [parts[k].select("repo", F.col("path").alias("file"), "sha256", F.lit(k).alias("state")) for k in ("unchanged", "changed")]
-    return graph.union_all([*here, parts["removed"].select("repo", "file", "sha256", F.lit("removed").alias("state"))])
+    return symbols.file_states(files, manifest)
 
 
 # ---- Spans, classes, calls ----
@@ -185,6 +198,14 @@ def enclosing_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.enclosing_method(A.span_sites(spark, sf_dir), A.span_methods(spark, sf_dir)).drop("repo", "keyword")
 
 
+@query("WITH " + ENCLOSING_SQL + ", every AS (SELECT p_brand AS file, l_partkey AS line, l_returnflag AS flag FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT every.*, qual FROM every JOIN held USING (file, line)")
+def enclosing_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line is a site, equal ones too."""
+    rows = A.table(spark, sf_dir, "lineitem").join(A.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sites = rows.select(F.lit("parts").alias("repo"), F.col("p_brand").alias("file"), F.col("l_partkey").alias("line"), F.col("l_returnflag").alias("flag"))
+    return symbols.enclosing_method(sites, A.span_methods(spark, sf_dir)).drop("repo")
+
+
 @query("WITH " + ENCLOSING_SQL + " SELECT qual AS id, count(*) AS n, string_agg(line || ':' || col || ':' || occurrence_type || ':' || snippet, ',' ORDER BY line, col, occurrence_type, snippet) AS usages FROM sites JOIN held USING (file, line) GROUP BY qual")
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = trace.seed_units(A.span_sites(spark, sf_dir), A.span_methods(spark, sf_dir))
@@ -295,6 +316,11 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select(F.col("place").cast("bigint").alias("place"), "layer_id", "layer", F.size("node_ids").cast("bigint").alias("n"), F.md5(F.array_join("node_ids", ",")).alias("ids_md5"))
 
 
+@query("WITH " + GRAPH_SQL + " SELECT layer, row_number() OVER (PARTITION BY layer ORDER BY ord, id) AS place, id FROM nodes WHERE kind = 'unit'")
+def layer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.layer_members(A.part_nodes(spark, sf_dir).filter("kind = 'unit'")).select("layer", "place", "id")
+
+
 @query("WITH " + GRAPH_SQL + ", p(layer, rank) AS (VALUES ('Controller', 0), ('Service', 1), ('Repository', 2), ('Table', 3), ('Other', 4)) SELECT row_number() OVER (ORDER BY rank) AS place, layer, n FROM (SELECT layer, rank, count(*) AS n FROM nodes JOIN p USING (layer) GROUP BY ALL)")
 def counts_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layer_counts(A.part_nodes(spark, sf_dir)).select(F.col("place").cast("bigint").alias("place"), "layer", "n")
@@ -371,11 +397,32 @@ def reading_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.tour(graph.main_paths(nodes, edges), graph.build_layers(nodes)).select(F.col("step").cast("bigint").alias("step"), "title", F.size("node_ids").cast("bigint").alias("n"))
 
 
-@query()
+@query("WITH RECURSIVE " + PATHS_SQL + """, p(layer, rank) AS (VALUES ('Controller', 0), ('Service', 1), ('Repository', 2), ('Table', 3), ('Other', 4)),
+units AS (SELECT *, 1 + dense_rank() OVER (ORDER BY rank) AS step FROM nodes JOIN p USING (layer) WHERE kind = 'unit')
+SELECT 1 AS step, 'Main path' AS title, unnest(generate_series(1, len(path)))::BIGINT AS place, unnest(path) AS id FROM ranked WHERE rank = 1
+UNION ALL SELECT step, layer, row_number() OVER (PARTITION BY layer ORDER BY ord, id), id FROM units""")
+def tour_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _normal(spark, sf_dir)
+    return graph.tour_stops(graph.main_paths(nodes, edges), nodes.filter("kind = 'unit'")).select(F.col("step").cast("bigint").alias("step"), "title", "place", "id")
+
+
+# the leftmost match, letter by letter: place, run and score so far
+@query(r"""WITH RECURSIVE asked AS (SELECT DISTINCT regexp_replace(p_name, '[aeiou]', '', 'g') AS query FROM part WHERE p_partkey % 20 = 0),
+texts AS (SELECT DISTINCT unnest([p_name, 'P' || p_partkey, p_type, p_brand]) AS text FROM part),
+pairs AS (SELECT query, text, lower(trim(query)) AS q, lower(text) AS t FROM asked, texts WHERE query <> ''),
+walk(query, text, q, t, i, at, run, score) AS (
+  SELECT query, text, q, t, 0, 0, 0, 0 FROM pairs
+  UNION ALL
+  SELECT query, text, q, t, i + 1, p, CASE WHEN at > 0 AND p = at + 1 THEN run + 1 ELSE 0 END,
+    score + CASE WHEN p = 1 THEN 30 WHEN NOT regexp_matches(t[p - 1:p - 1], '[0-9a-zA-Z_]') THEN 15 ELSE 0 END + CASE WHEN at > 0 AND p = at + 1 THEN 8 + (run + 1) * 5 ELSE 1 END
+  FROM (SELECT *, CASE WHEN instr(t[at + 1:], q[i + 1:i + 1]) > 0 THEN at + instr(t[at + 1:], q[i + 1:i + 1]) ELSE 0 END AS p FROM walk WHERE i < length(q)) WHERE p > 0),
+scored AS (SELECT query, text, score + CASE WHEN q = t THEN 40 ELSE 0 END + greatest(0, 12 - (length(t) - length(q))) AS score FROM walk WHERE i = length(q)),
+best AS (SELECT query, p_partkey, max(score) AS score FROM scored JOIN (SELECT p_partkey, unnest([p_name, 'P' || p_partkey, p_type, p_brand]) AS text FROM part) USING (text) GROUP BY ALL)
+SELECT query, rank::BIGINT AS rank, 'P' || p_partkey AS id, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, p_partkey) AS rank FROM best) WHERE rank <= 8""")
 def fuzzy_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = A.table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("layer"), F.col("p_brand").alias("table"), F.col("p_partkey").alias("ord"))
     wanted = A.table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.regexp_replace("p_name", "[aeiou]", "").alias("query")).distinct()
-    return search.fuzzy_search(nodes, wanted)
+    return search.fuzzy_search(nodes, wanted).withColumns({"rank": F.col("rank").cast("bigint"), "score": F.col("score").cast("bigint")})
 
 
 # ---- Generated code ----
@@ -450,6 +497,32 @@ def refreshed_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.refresh_symbols(files, symbols.extract_symbols(before.unionByName(gone), checkpoint=True))["methods"].select("repo", "qual")
 
 
+@query("WITH " + CODEGEN_SQL + """, svc AS (SELECT DISTINCT s_nationkey AS k, l_suppkey AS s FROM lines),
+at AS (SELECT s_nationkey AS k, l_suppkey AS s, l_partkey AS p, 6 * row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS line FROM lines)
+SELECT 'method' AS kind, 'n' || k AS repo, 'src/service/Svc' || s || '.java' AS file, 'Svc' || s || '.findPart' || p AS name, (line - 1)::VARCHAR AS detail FROM at
+UNION ALL SELECT 'call', 'n' || k, 'src/service/Svc' || s || '.java', 'Svc' || s || '.findPart' || p, 'dao.loadPart' || p % 10 || '@' || line + 3 FROM at
+UNION ALL SELECT 'field', 'n' || k, 'src/service/Svc' || s || '.java', 'Svc' || s || '.dao', 'Dao' FROM svc
+UNION ALL SELECT 'parent', 'n' || k, 'src/service/Svc' || s || '.java', 'Svc' || s, 'BaseMapper<Entity' || s || '>' FROM svc
+UNION ALL SELECT 'state', 'n' || k, CASE WHEN s % 3 = 0 THEN 'old/' ELSE '' END || 'src/service/Svc' || s || '.java', '', CASE s % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' ELSE 'unchanged' END FROM svc
+UNION ALL SELECT 'state', 'n' || k, 'src/service/Svc' || s || '.java', '', 'changed' FROM svc WHERE s % 3 = 0""")
+def stored_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of the services, of which a third changed and a third moved, refreshed in place; all that it then holds, and each file's state."""
+    files = _java(spark, sf_dir).checkpoint()
+    number = F.regexp_extract("path", "Svc([0-9]+)", 1).cast("bigint")
+    text = F.when(number % 3 == 1, F.concat("text", F.lit("// changed\n"))).otherwise(F.col("text"))
+    before = files.withColumns({"text": text, "path": F.when(number % 3 == 0, F.concat(F.lit("old/"), "path")).otherwise(F.col("path"))})
+    path = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    store.refresh_store(corpus.with_content_hash(before), path)
+    states = store.refresh_store(files, path)
+    held = store.read_store(spark, path)
+    row = lambda df, kind, name, detail: df.select(F.lit(kind).alias("kind"), "repo", "file", name.alias("name"), detail.alias("detail"))
+    c = F.col
+    return graph.union_all([
+        row(held["methods"], "method", c("qual"), c("start_line").cast("string")), row(held["fields"], "field", F.concat_ws(".", "cls", "name"), c("type")), row(held["inheritance"], "parent", c("cls"), c("parent")),
+        row(held["calls"], "call", c("caller_qual"), F.concat(c("receiver"), F.lit("."), c("callee_name"), F.lit("@"), c("line").cast("string"))), row(states, "state", F.lit(""), c("state")),
+    ])
+
+
 @query("""
 SELECT p_brand AS repo, 'sqlalchemy' AS source, 'Repo' || p_partkey || '.find_it' AS qual, 'select' AS op, 't_model' || p_partkey % 9 AS tables FROM part
 UNION ALL SELECT p_brand, 'ef_core', 'Use' || p_partkey || '.DeleteIt', 'delete', 't_ent' || p_partkey % 9 FROM part
@@ -515,6 +588,15 @@ def linked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlrefs.table_nodes(_linked(spark, sf_dir)).select("id", "op", F.md5(F.array_join("source_units", ",")).alias("units_md5"), F.size("source_files").cast("bigint").alias("n_files"))
 
 
+@query("WITH " + LINKED_SQL + r""", f AS (SELECT tab, 'Map' || sup || '.find' || part AS qual, 'res/mapper/Map' || sup || '.xml' AS file, part, 'SELECT * FROM t_part' || part % 10 || ' p JOIN s.t_supplier s ON 1 = 1' AS sql FROM tab WHERE traced),
+each AS (SELECT tab, file, part, unnest(['ops', 'source_units', 'source_files', 'statement_ids', 'statement_sources', 'sql_snippets']) AS list, unnest(['select', qual, file, qual, 'mybatis_xml', sql]) AS value FROM f),
+first AS (SELECT tab, list, value, min((file, part)) AS seen FROM each GROUP BY ALL)
+SELECT tab AS "table", list, row_number() OVER (PARTITION BY tab, list ORDER BY seen, value) AS place, value FROM first""")
+def table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that statements say of each table, in full."""
+    return sqlrefs.table_facts(_linked(spark, sf_dir)).select("table", "list", "place", "value")
+
+
 @query("WITH " + LINKED_SQL + " SELECT 'Map' || sup || '.find' || part AS src, 'table:' || tab AS dst, 'select' AS op FROM tab WHERE traced")
 def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlrefs.reference_edges(_linked(spark, sf_dir)).select("src", "dst", "op")

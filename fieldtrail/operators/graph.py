@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrail.functions.ranks import numbered
 from fieldtrail.functions.text import slug
 
 KEY = ("repo", "keyword")
@@ -95,8 +96,17 @@ def _layer_rank(layer_order: Sequence[str]) -> Column:
     return F.coalesce(*known, F.lit(len(layer_order)))
 
 
+def layer_members(nodes: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """(keys, layer, place, id): the nodes of each layer in their order, in long form, so that a layer of any size is many rows."""
+    members = nodes.select(*keys, F.coalesce("layer", F.lit("Other")).alias("layer"), "ord", "id")
+    return numbered(members, [*keys, "layer"], ["ord", "id"]).select(*keys, "layer", "place", "id")
+
+
 def build_layers(nodes: DataFrame, layer_order: Sequence[str] = LAYER_ORDER, keys: Sequence[str] = KEY) -> DataFrame:
-    """(keys, place, layer_id, layer, node_ids): layers that have nodes, in the given order, then as first seen."""
+    """(keys, place, layer_id, layer, node_ids): layers that have nodes, in the given order, then as first seen.
+
+    ``node_ids`` is one array for each layer: meant for capped graphs. The long form is layer_counts and layer_members.
+    """
     layers = nodes.withColumn("layer", F.coalesce("layer", F.lit("Other"))).groupBy(*keys, "layer").agg(
         F.min("ord").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda s: s["id"]).alias("node_ids")
     )
@@ -140,26 +150,25 @@ def shortest_paths_to_tables(nodes: DataFrame, edges: DataFrame, starts: DataFra
     """(keys, start, path): for each start (keys, id; all units if not given) the shortest path to the nearest table, ties by edge order.
 
     Distances to the nearest table spread backwards from the tables, a level at a time. A node's next step is its first edge
-    to a node that is nearer, and starts follow these steps: the work is that of the edges for each level, however
-    many starts there are. A table has no path. Needs a checkpoint folder.
+    to a node that is nearer; steps thus make trees whose roots are the tables. Nodes then jump along the trees: a round gives each
+    node that knows its first n steps those of the node it has come to, so paths take log2(max_hops) rounds. They are rows (node, place, at)
+    until arrays are put together once, for the starts alone. A table has no path. Needs a checkpoint folder.
     """
     tables = nodes.filter("kind = 'table'").select(*keys, "id").distinct()
     near = _distances(tables, edges, max_hops - 1, keys)
     steps = edges.select(*keys, "src", "dst", "ord").join(near.withColumnRenamed("id", "dst"), [*keys, "dst"])
     step = F.min_by(F.struct("dst", "dist"), F.struct("dist", "ord", "dst"))
-    steps = steps.groupBy(*keys, F.col("src").alias("at")).agg(step.alias("s")).select(*keys, "at", F.col("s.dst").alias("next"), F.col("s.dist").alias("left")).checkpoint()
-    starts = nodes if starts is None else starts
-    frontier = starts.select(*keys, "id").distinct().join(tables, [*keys, "id"], "left_anti").select(*keys, F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"))
-    done = None
-    for _ in range(max_hops):
-        moved = frontier.join(steps, [*keys, "at"]).select(*keys, "start", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path"), "left").checkpoint()
-        if moved.isEmpty():
-            break
-        hit = moved.filter("left = 0").select(*keys, "start", "path")
-        done = hit if done is None else done.unionByName(hit)
-        frontier = moved.filter("left > 0").drop("left")
-    empty = starts.limit(0).select(*keys, F.col("id").alias("start"), F.array("id").alias("path"))
-    return empty if done is None else done
+    steps = steps.groupBy(*keys, F.col("src").alias("start")).agg(step.alias("s"))
+    way = steps.select(*keys, "start", F.lit(1).alias("place"), F.col("s.dst").alias("at"), (F.col("s.dist") + 1).alias("hops")).checkpoint()
+    known = 1
+    while not (ends := way.filter((F.col("place") == known) & (F.col("hops") > known))).isEmpty():
+        there = way.select(*keys, F.col("start").alias("at"), F.col("place").alias("more"), F.col("at").alias("then"))
+        further = ends.join(there, [*keys, "at"]).select(*keys, "start", (F.col("more") + known).alias("place"), F.col("then").alias("at"), "hops")
+        way = way.unionByName(further).checkpoint()
+        known *= 2
+    asked = (nodes if starts is None else starts).select(*keys, F.col("id").alias("start")).distinct().join(tables.withColumnRenamed("id", "start"), [*keys, "start"], "left_anti")
+    paths = way.join(asked, [*keys, "start"]).groupBy(*keys, "start").agg(F.array_sort(F.collect_list(F.struct("place", "at"))).alias("s"))
+    return paths.select(*keys, "start", F.concat(F.array("start"), F.col("s.at")).alias("path"))
 
 
 def _distances(targets: DataFrame, edges: DataFrame, most: int, keys: Sequence[str]) -> DataFrame:
@@ -219,6 +228,17 @@ def tour(paths: DataFrame, layers: DataFrame, most: int = 15, keys: Sequence[str
     return first.unionByName(rest).withColumn("step", step).filter(F.col("step") <= most).select(*keys, "step", "title", "node_ids")
 
 
+def tour_stops(paths: DataFrame, nodes: DataFrame, most: int = 15, layer_order: Sequence[str] = LAYER_ORDER, keys: Sequence[str] = KEY) -> DataFrame:
+    """(keys, step, title, place, id): the stops of :func:`tour` in long form, of a graph of any size."""
+    first = paths.filter("rank = 1").select(*keys, F.posexplode("nodes").alias("place", "id"))
+    led = first.select(*keys).distinct().withColumn("led", F.lit(1))
+    places = layer_counts(nodes, layer_order, keys).join(led, list(keys), "left").select(*keys, "layer", (F.col("place") + F.coalesce("led", F.lit(0))).alias("step"))
+    rest = layer_members(nodes, keys).join(places.filter(F.col("step") <= most), [*keys, "layer"])
+    return first.select(*keys, F.lit(1).alias("step"), F.lit("Main path").alias("title"), (F.col("place") + 1).cast("bigint").alias("place"), "id").unionByName(
+        rest.select(*keys, "step", F.col("layer").alias("title"), "place", "id")
+    )
+
+
 # ---- Cap and layout ----
 
 
@@ -234,18 +254,16 @@ def truncate_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 300, key
     seeds = big.join(any_used, keys, "left").filter(used | (F.col("has_used").isNull() & (F.col("ord") == F.col("first"))))
     steps = edges.select(*keys, F.col("src").alias("id"), F.col("dst").alias("next"), F.col("ord").alias("step")).join(big.select(*keys, F.col("id").alias("next")), [*keys, "next"], "left_semi")
     by = Window.partitionBy(*keys)
-    # places only have to grow in the order of a sort, which splits large graphs
-    frontier = seeds.orderBy(*keys, "ord").select(*keys, "id", F.lit(0).alias("level"), F.monotonically_increasing_id().alias("place")).checkpoint()
-    walked, level, met = frontier, 0, None
-    while not frontier.isEmpty():
+    # a level is written once, and what was walked is the levels: about max_nodes of each graph and its last level
+    levels = [_placed(seeds.select(*keys, "id", F.struct(F.lit(0).cast("bigint").alias("place"), F.col("ord").cast("bigint").alias("step")).alias("b")), keys, 0)]
+    while not levels[-1].isEmpty():
+        walked = union_all(levels).select(*keys, "id")
         # enough was met once the walk alone fills every graph
-        level += 1
-        found = frontier.join(steps, [*keys, "id"]).groupBy(*keys, F.col("next").alias("id")).agg(F.min(F.struct("place", "step")).alias("b"))
-        fresh = found.join(walked, [*keys, "id"], "left_anti")
-        met = walked.groupBy(*keys).agg(F.count("*").alias("met"))
-        fresh = fresh.join(met.filter(F.col("met") < max_nodes), keys, "left_semi")
-        frontier = fresh.orderBy(*keys, "b", "id").select(*keys, "id", F.lit(level).alias("level"), F.monotonically_increasing_id().alias("place")).checkpoint()
-        walked = walked.unionByName(frontier).checkpoint()
+        full = walked.groupBy(*keys).agg(F.count("*").alias("met")).filter(F.col("met") >= max_nodes)
+        found = levels[-1].join(full, keys, "left_anti").join(steps, [*keys, "id"])
+        found = found.groupBy(*keys, F.col("next").alias("id")).agg(F.min(F.struct("place", F.col("step").cast("bigint").alias("step"))).alias("b"))
+        levels.append(_placed(found.join(walked, [*keys, "id"], "left_anti"), keys, len(levels)))
+    walked = union_all(levels)
     ranked = big.join(refs, [*keys, "id"], "left").join(walked, [*keys, "id"], "left")
     tier = F.when((F.col("kind") == "table") | F.col("ref"), 0).when(F.col("level").isNotNull(), 1).otherwise(2)
     order = by.orderBy(tier, F.when(tier == 1, F.col("level")), F.when(tier == 1, F.col("place")), "ord")
@@ -257,6 +275,12 @@ def truncate_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 300, key
     return out, inside, sizes.filter(F.col("size") > max_nodes).select(*keys, (F.col("size") - max_nodes).alias("n"))
 
 
+def _placed(fresh: DataFrame, keys: Sequence[str], level: int) -> DataFrame:
+    """A level of a walk (keys, id, level, place): places grow in the order in which the level before met it, over ranges of any number."""
+    spread = fresh.repartitionByRange(*keys, "b", "id").sortWithinPartitions(*keys, "b", "id")
+    return spread.select(*keys, "id", F.lit(level).alias("level"), F.monotonically_increasing_id().alias("place")).checkpoint()
+
+
 def class_of_node(nodes: DataFrame) -> Column:
     """The class or table under which a node is shown."""
     before = lambda c: F.regexp_extract(c, r"(?s)^(.*)\.", 1)
