@@ -99,11 +99,38 @@ def usages_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.groupBy("repo", "keyword", "layer").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
 
 
-@query("WITH " + CODEGEN_SQL + """, at AS (SELECT *, 6 * row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 0 AS line FROM lines),
-f AS (SELECT 'n' || s_nationkey AS repo, 'src/service/Svc' || l_suppkey || '.java' AS file, l_partkey AS p, line FROM at)
+@query("WITH " + LINES_SQL + "," + RUNS_SQL + r""", blanks AS (SELECT array_to_string(list_transform([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288], lambda x: chr(x)), '') AS b)
+SELECT repo, file, line::BIGINT AS line, col::BIGINT AS col, trim(line_text, b) AS snippet FROM placed, blanks WHERE run IN ('der', 'Der', 'DER', 'ders', 'Ders')""")
+def usage_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = discover.find_usages(A.document_files(spark, sf_dir), "der")
+    return sites.select("repo", "file", F.col("line").cast("bigint").alias("line"), F.col("col").cast("bigint").alias("col"), "snippet")
+
+
+@query("SELECT p_brand AS repo, unnest(['java/Row' || p_partkey || '.java', 'java/Rows' || p_partkey || '.java', 'app/m' || p_partkey || '.py', 'cs/U' || p_partkey || '.cs']) AS path, unnest(['Entity', 'Data', 'Python', 'Other']) AS layer FROM part")
+def annotated_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers by an annotation with and without its package, by a pattern, and by a folder."""
+    files = A.model_files(spark, sf_dir).withColumn("text", F.regexp_replace("text", "@Entity", "@jakarta.persistence.Entity"))
+    layers = [Layer("Entity", "", "@Missing|@Entity"), Layer("Data", "", "Jpa[A-Z]"), Layer("Python", "app|py")]
+    return files.select("repo", "path", discover.classify_layer(F.col("path"), F.col("text"), layers).alias("layer"))
+
+
+@query(r"""WITH t AS (SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS source, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY ALL)
+SELECT 'lang=' || lang AS repo, 'lang=' || lang || '/source=' || source AS folder, strlen(text) AS size, sha256(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS sha256 FROM t WHERE source NOT IN ('src0', 'src3')""")
+def files_of_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of folders and read as a corpus: one folder's files are binary, one is left out by name, and files of another ending are there too."""
+    docs = A.table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.when(F.col("source") == "src3", F.concat(F.lit("\0"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    docs.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id").drop("doc_id").write.partitionBy("lang", "source").text(path)
+    docs.select("lang", "source", "doc_id").repartition("lang", "source").write.mode("append").partitionBy("lang", "source").csv(path)
+    found = corpus.read_corpus(spark, path, [".txt"], ["source=src0"])
+    return found.select("repo", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "size", "sha256")
+
+
+@query("WITH " + CODEGEN_SQL + """, spot AS (SELECT *, 6 * row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS line FROM lines),
+f AS (SELECT 'n' || s_nationkey AS repo, 'src/service/Svc' || l_suppkey || '.java' AS file, l_partkey AS p, line FROM spot)
 SELECT repo, file, 'findPart' || p AS keyword, line::BIGINT AS line, 16::BIGINT AS col, 'definition' AS occurrence_type FROM f
 UNION ALL SELECT repo, file, 'loadPart' || p % 10, (line + 3)::BIGINT, 16, 'identifier' FROM f
-UNION ALL SELECT repo, file, 't_part' || p % 10, (line + 2)::BIGINT, 34, 'identifier' FROM f""")
+UNION ALL SELECT repo, file, 't_part' || p % 10, (line + 2)::BIGINT, 33, 'definition' FROM f""")
 def usages_sharing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyword for each part, all of which begin with the same words, and twenty names whose first words stand in every method."""
     key = F.col("p_partkey").cast("string")
@@ -360,6 +387,41 @@ def capped_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.truncate_graph(*_normal(spark, sf_dir))[0].select("id", "kind", "layer", "label")
 
 
+# a graph for each brand, in which a walk from units with usages fills some of the 40 places, and others in their order the rest
+@query("WITH RECURSIVE " + GRAPH_SQL.split("edges AS")[0] + """n AS (SELECT p_brand AS g, 'P' || p_partkey AS id, 'unit' AS kind, p_partkey AS ord, p_size % 7 = 0 AS used, p_size FROM part UNION ALL SELECT DISTINCT p_brand, 'table:' || p_brand, 'table', 10000000000, false, 0 FROM part),
+e AS (SELECT a.g, src, dst, calls.ord AS step FROM calls JOIN n a ON a.id = src JOIN n b ON b.id = dst AND b.g = a.g),
+refs AS (SELECT g, id FROM n WHERE kind = 'table' UNION SELECT g, id FROM n WHERE p_size = 33),
+reach(g, id, d) AS (SELECT g, id, 0 FROM n WHERE used UNION SELECT e.g, dst, d + 1 FROM reach JOIN e ON e.g = reach.g AND src = id WHERE d < 30),
+far AS (SELECT g, id, min(d) AS d FROM reach GROUP BY g, id),
+walk(g, id, d, place) AS (
+  SELECT g, id, 0, row_number() OVER (PARTITION BY g ORDER BY ord) FROM n WHERE used
+  UNION ALL
+  SELECT g, id, d, row_number() OVER (PARTITION BY g ORDER BY met, id) FROM (
+    SELECT e.g, e.dst AS id, far.d, min((walk.place, e.step)) AS met FROM walk JOIN e ON e.g = walk.g AND e.src = walk.id JOIN far ON far.g = e.g AND far.id = e.dst AND far.d = walk.d + 1 GROUP BY e.g, e.dst, far.d)),
+tiers AS (SELECT n.g, n.id, CASE WHEN (n.g, n.id) IN (FROM refs) THEN 0 WHEN walk.id IS NOT NULL THEN 1 ELSE 2 END AS tier, walk.d, walk.place, n.ord FROM n LEFT JOIN walk ON walk.g = n.g AND walk.id = n.id)
+SELECT g AS repo, id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY tier, CASE WHEN tier = 1 THEN d END NULLS FIRST, CASE WHEN tier = 1 THEN place END NULLS FIRST, ord) AS r FROM tiers) WHERE r <= 40""")
+def capped_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = A.table(spark, sf_dir, "part")
+    group = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("g"), "p_size")
+    nodes, edges = A.part_nodes(spark, sf_dir), A.part_edges(spark, sf_dir)
+    nodes = nodes.join(group.drop("p_size"), "id", "left").withColumn("repo", F.coalesce("g", "table")).drop("g")
+    ends = [group.select(F.col("id").alias(c), F.col("g").alias(f"{c}_g"), F.col("p_size").alias(f"{c}_size")) for c in ("src", "dst")]
+    both = edges.join(ends[0], "src").join(ends[1], "dst", "left")
+    both = both.filter("(kind = 'call' AND src_g = dst_g) OR (kind = 'references' AND src_size = 33)").withColumn("repo", F.col("src_g"))
+    return graph.truncate_graph(nodes, both.select(edges.columns), 40)[0].select("repo", "id")
+
+
+@query("WITH " + GRAPH_SQL + " SELECT 'node' AS what, id, kind, layer AS more FROM nodes UNION ALL SELECT 'edge', src, kind, dst FROM edges")
+def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph written as JSON lines and read again."""
+    nodes, edges = A.part_nodes(spark, sf_dir), A.part_edges(spark, sf_dir)
+    path = f"{spark.sparkContext.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    corpus.write_graph(nodes, edges, path)
+    shapes = [", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for df in (nodes, edges)]
+    n, e = corpus.read_graph(spark, path, *shapes)
+    return n.select(F.lit("node").alias("what"), "id", "kind", F.col("layer").alias("more")).unionByName(e.select(F.lit("edge").alias("what"), F.col("src").alias("id"), "kind", F.col("dst").alias("more")))
+
+
 @query("WITH RECURSIVE " + GRAPH_SQL + """,
 back(place, d) AS (SELECT id, 0 FROM nodes WHERE kind = 'table' UNION SELECT src, d + 1 FROM back JOIN (SELECT DISTINCT src, dst FROM normal) ON dst = place WHERE d < 12)
 SELECT place AS "start", (min(d) + 1)::BIGINT AS n FROM back WHERE d > 0 GROUP BY place""")
@@ -410,12 +472,12 @@ def tour_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH RECURSIVE asked AS (SELECT DISTINCT regexp_replace(p_name, '[aeiou]', '', 'g') AS query FROM part WHERE p_partkey % 20 = 0),
 texts AS (SELECT DISTINCT unnest([p_name, 'P' || p_partkey, p_type, p_brand]) AS text FROM part),
 pairs AS (SELECT query, text, lower(trim(query)) AS q, lower(text) AS t FROM asked, texts WHERE query <> ''),
-walk(query, text, q, t, i, at, run, score) AS (
+walk(query, text, q, t, i, spot, run, score) AS (
   SELECT query, text, q, t, 0, 0, 0, 0 FROM pairs
   UNION ALL
-  SELECT query, text, q, t, i + 1, p, CASE WHEN at > 0 AND p = at + 1 THEN run + 1 ELSE 0 END,
-    score + CASE WHEN p = 1 THEN 30 WHEN NOT regexp_matches(t[p - 1:p - 1], '[0-9a-zA-Z_]') THEN 15 ELSE 0 END + CASE WHEN at > 0 AND p = at + 1 THEN 8 + (run + 1) * 5 ELSE 1 END
-  FROM (SELECT *, CASE WHEN instr(t[at + 1:], q[i + 1:i + 1]) > 0 THEN at + instr(t[at + 1:], q[i + 1:i + 1]) ELSE 0 END AS p FROM walk WHERE i < length(q)) WHERE p > 0),
+  SELECT query, text, q, t, i + 1, p, CASE WHEN spot > 0 AND p = spot + 1 THEN run + 1 ELSE 0 END,
+    score + CASE WHEN p = 1 THEN 30 WHEN NOT regexp_matches(t[p - 1:p - 1], '[0-9a-zA-Z_]') THEN 15 ELSE 0 END + CASE WHEN spot > 0 AND p = spot + 1 THEN 8 + (run + 1) * 5 ELSE 1 END
+  FROM (SELECT *, CASE WHEN instr(t[spot + 1:], q[i + 1:i + 1]) > 0 THEN spot + instr(t[spot + 1:], q[i + 1:i + 1]) ELSE 0 END AS p FROM walk WHERE i < length(q)) WHERE p > 0),
 scored AS (SELECT query, text, score + CASE WHEN q = t THEN 40 ELSE 0 END + greatest(0, 12 - (length(t) - length(q))) AS score FROM walk WHERE i = length(q)),
 best AS (SELECT query, p_partkey, max(score) AS score FROM scored JOIN (SELECT p_partkey, unnest([p_name, 'P' || p_partkey, p_type, p_brand]) AS text FROM part) USING (text) GROUP BY ALL)
 SELECT query, rank::BIGINT AS rank, 'P' || p_partkey AS id, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, p_partkey) AS rank FROM best) WHERE rank <= 8""")
@@ -498,9 +560,9 @@ def refreshed_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + CODEGEN_SQL + """, svc AS (SELECT DISTINCT s_nationkey AS k, l_suppkey AS s FROM lines),
-at AS (SELECT s_nationkey AS k, l_suppkey AS s, l_partkey AS p, 6 * row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS line FROM lines)
-SELECT 'method' AS kind, 'n' || k AS repo, 'src/service/Svc' || s || '.java' AS file, 'Svc' || s || '.findPart' || p AS name, (line - 1)::VARCHAR AS detail FROM at
-UNION ALL SELECT 'call', 'n' || k, 'src/service/Svc' || s || '.java', 'Svc' || s || '.findPart' || p, 'dao.loadPart' || p % 10 || '@' || line + 3 FROM at
+spot AS (SELECT s_nationkey AS k, l_suppkey AS s, l_partkey AS p, 6 * row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS line FROM lines)
+SELECT 'method' AS kind, 'n' || k AS repo, 'src/service/Svc' || s || '.java' AS file, 'Svc' || s || '.findPart' || p AS name, (line - 1)::VARCHAR AS detail FROM spot
+UNION ALL SELECT 'call', 'n' || k, 'src/service/Svc' || s || '.java', 'Svc' || s || '.findPart' || p, 'dao.loadPart' || p % 10 || '@' || line + 3 FROM spot
 UNION ALL SELECT 'field', 'n' || k, 'src/service/Svc' || s || '.java', 'Svc' || s || '.dao', 'Dao' FROM svc
 UNION ALL SELECT 'parent', 'n' || k, 'src/service/Svc' || s || '.java', 'Svc' || s, 'BaseMapper<Entity' || s || '>' FROM svc
 UNION ALL SELECT 'state', 'n' || k, CASE WHEN s % 3 = 0 THEN 'old/' ELSE '' END || 'src/service/Svc' || s || '.java', '', CASE s % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' ELSE 'unchanged' END FROM svc
@@ -529,7 +591,7 @@ UNION ALL SELECT p_brand, 'ef_core', 'Use' || p_partkey || '.DeleteIt', 'delete'
 UNION ALL SELECT p_brand, 'jpa_repository', 'Rows' || p_partkey || '.countByNo', 'select', 't_row' || p_partkey % 9 FROM part""")
 def mapped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = A.model_files(spark, sf_dir)
-    methods = symbols.extract_symbols(files)["methods"]
+    methods = symbols.extract_symbols(files, checkpoint=True)["methods"]
     found = graph.union_all([orm.sqlalchemy_statements(files, methods), orm.ef_statements(files, methods), orm.jpa_statements(files)])
     return found.select("repo", "source", "qual", "op", F.array_join("tables", ",").alias("tables"))
 
@@ -643,6 +705,35 @@ def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["counts"]
 
 
+# units are kept in the order of their files and lines, tables after them, 300 of both; a table's units are all that name it
+@query("WITH " + CODEGEN_SQL + """,
+u AS (SELECT s_nationkey AS k, l_partkey AS p, 'Svc' || l_suppkey || '.findPart' || l_partkey AS id, 'src/service/Svc' || l_suppkey || '.java' AS file, 6 * row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1 AS line, l_partkey % 10 AS tab,
+  row_number() OVER (PARTITION BY s_nationkey ORDER BY 'Svc' || l_suppkey || '.java', l_partkey) AS place, count(*) OVER (PARTITION BY s_nationkey) AS units FROM lines),
+t AS (SELECT k, tab, min(units) + row_number() OVER (PARTITION BY k ORDER BY tab) AS place, string_agg(id, ',' ORDER BY file, id) AS said, count(DISTINCT file) AS files FROM u GROUP BY k, tab),
+e AS (SELECT u.k, u.id, u.tab, u.place FROM u JOIN t USING (k, tab) WHERE u.place <= 300 AND t.place <= 300)
+SELECT 'unit' AS what, 'n' || k AS repo, id AS a, file || ':' || line || '-' || line + 5 AS b, 'Service' AS c FROM u WHERE place <= 300
+UNION ALL SELECT 'table', 'n' || k, 't_part' || tab, md5(said), files || ' files' FROM t WHERE place <= 300
+UNION ALL SELECT 'edge', 'n' || k, id, 'table:t_part' || tab, 'reads_from' FROM e
+UNION ALL SELECT 'statement', 'n' || k, id, 'SELECT * FROM t_part' || tab || ' WHERE no = ''a(b''', 'select:t_part' || tab FROM u
+UNION ALL SELECT 'path', 'n' || k, row_number() OVER (PARTITION BY k ORDER BY place)::VARCHAR, id || '>table:t_part' || tab, 'Service>Table' FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY place) <= 4
+UNION ALL SELECT 'source', 'n' || k, id, md5('  @Transactional(timeout = 5)' || chr(10) || '  public Order findPart' || p || '(String partNo, List<Map<String, Item>> rows) {' || chr(10) || '    // callPart' || p || '() is gone' || chr(10)
+  || '    String sql = "SELECT * FROM t_part' || tab || ' WHERE no = ''a(b''" + " AND 1 = 1";' || chr(10) || '    return dao.loadPart' || tab || '(partNo);' || chr(10) || '  }'), '' FROM u WHERE place <= 300
+UNION ALL SELECT 'usage', 'n' || k, id, unnest([line + 1, line + 4]) || '', 'identifier' FROM u WHERE place <= 300""")
+def whole_run_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the whole job says of generated services: units with spans and usages, tables with their units, edges, statements, main paths and sources."""
+    out = run_profile(_java(spark, sf_dir).checkpoint(), spark.createDataFrame([("partNo",)], "keyword string"), PROFILES["java-spring"])
+    nodes, c = out["nodes"], F.col
+    row = lambda df, what, a, b, x: df.select(F.lit(what).alias("what"), "repo", a.alias("a"), b.alias("b"), x.alias("c"))
+    spans = F.concat(c("file"), F.lit(":"), c("line").cast("string"), F.lit("-"), c("end_line").cast("string"))
+    uses = nodes.filter("kind = 'unit'").select("repo", "id", F.explode("usages").alias("u"))
+    return graph.union_all([
+        row(nodes.filter("kind = 'unit'"), "unit", c("id"), spans, c("layer")), row(nodes.filter("kind = 'table'"), "table", c("table"), F.md5(F.array_join("source_units", ",")), F.concat(F.size("source_files").cast("string"), F.lit(" files"))),
+        row(out["edges"], "edge", c("src"), c("dst"), c("type")), row(out["statements"], "statement", c("qual"), c("sql"), F.concat(c("op"), F.lit(":"), F.array_join("tables", ","))),
+        row(out["main_paths"], "path", c("rank").cast("string"), F.array_join("nodes", ">"), F.array_join("layers", ">")), row(out["method_sources"], "source", c("id"), F.md5("source"), F.lit("")),
+        row(uses, "usage", c("id"), c("u.line").cast("string"), c("u.occurrence_type")),
+    ])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage sites of a word by repo and layer."""
     sites = discover.find_usages(A.document_files(spark, sf_dir), "the", layers=LAYERS)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldtrail.functions import text as T
 from fieldtrail.functions.extractors import EXTRACTORS
+from fieldtrail.sources.scratch import written
 
 _RAW = "repo string, file string, kind string, ord int, cls string, name string, qual string, type string, receiver string, start_line int, end_line int, params map<string,string>"
 
@@ -36,11 +37,11 @@ def extract_symbols(files: DataFrame, checkpoint: bool = False) -> dict[str, Dat
     """methods, fields, inheritance, calls and manifest of the files whose language is known.
 
     ``ord`` numbers the rows of a file; (file, ord) stands for the order in which files are read. With ``checkpoint`` the texts
-    are parsed once for all tables; without it each table that is used parses them.
+    are parsed once and written by kind of symbol; without it each table that is used parses them.
     """
     known = files.filter(F.col("ext").isin(*EXTRACTORS)).select("repo", "path", "ext", "text")
     raw = known.mapInArrow(_extract, _RAW)
-    raw = raw.checkpoint() if checkpoint else raw
+    raw = written(raw, ["kind"]) if checkpoint else raw
     kind = lambda k: raw.filter(F.col("kind") == k)
     return {
         "methods": kind("method").select("repo", "file", "ord", "qual", "name", "cls", "start_line", "end_line", "params"),

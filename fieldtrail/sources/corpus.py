@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,9 @@ def _file_columns(df: DataFrame, text: Column) -> DataFrame:
 def read_corpus(spark: SparkSession, root: str, exts: Sequence[str], skip_dirs: Sequence[str] = ()) -> DataFrame:
     """Text files under ``root``, whose first folder is the repo. Invalid UTF-8 becomes U+FFFD, binary files are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", ""), f"^.*?\\Q{base}\\E/", "")
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+    base = re.sub(scheme, "", root).strip("/")
+    rel = F.regexp_replace(F.regexp_replace("path", scheme, ""), f"^.*?\\Q{base}\\E/", "")
     files = raw.select(F.split(rel, "/")[0].alias("repo"), rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
     files = exclude_dirs(drop_binary(files.filter(_has_ext(exts))), skip_dirs)
     return _file_columns(files, F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
