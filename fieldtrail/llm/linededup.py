@@ -46,9 +46,10 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = stage(near.select("doc", "k1", "k2", "pos", F.xxhash64(exact).alias("h1"), F.xxhash64(F.lit(1), exact).alias("h2")))
     unstage(often)
     common = near.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
+    common = stage(common)  # read anew, so that the join with a very common line's rows can be split
     lost = near.join(common, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("last")))
     lost = stage(lost.groupBy(F.col("doc").alias(doc), F.col("k1").alias(key1), F.col("k2").alias(key2)).agg(F.collect_set("pos").alias(gone)))
-    unstage(near)
+    unstage(near, common)
 
     rows = docs.select(*carried, F.col(id_col).alias("my" + doc), body_of.alias(body), F.xxhash64(body_of).alias("my" + key1), F.xxhash64(F.lit(1), body_of).alias("my" + key2))
     rows = with_maybe(rows, "my" + key1, lost.select(F.col(key1).alias("my" + key1)), "maybe" + tag)
