@@ -33,6 +33,7 @@ class Whitening:
 
     n: int
     sums: list[int]
+    reach: int  # the largest |n*x - S| of any entry
     values: np.ndarray  # eigenvalues, falling
     vectors: np.ndarray  # unit eigenvectors as columns
     trace: float
@@ -71,7 +72,9 @@ def fit(vectors: DataFrame, x: str = "x", components: int = 4, pairs_at_once: in
     n, dim = first[0], first[1] or 0
     if not n:
         return None
-    sums = [int(v) for v in distinct.agg(*(F.sum(_entry("x", i).cast("decimal(28,0)")) for i in range(dim))).first()]
+    facts = distinct.agg(*(f(_entry("x", i).cast("decimal(28,0)")) for f in (F.sum, F.min, F.max) for i in range(dim))).first()
+    sums, least, most = ([int(v) for v in facts[k * dim : (k + 1) * dim]] for k in range(3))
+    reach = max(abs(n * x - s) for ends in (least, most) for x, s in zip(ends, sums, strict=True))
     centred = distinct.select(*((_entry("x", i) - F.lit(s / n)).alias(f"c{i}") for i, s in enumerate(sums)))
     pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
     matrix = np.zeros((dim, dim))
@@ -81,7 +84,7 @@ def fit(vectors: DataFrame, x: str = "x", components: int = 4, pairs_at_once: in
         for (i, j), value in zip(chosen, row, strict=True):
             matrix[i, j] = matrix[j, i] = value / n
     values, vecs = np.linalg.eigh(matrix)
-    out = Whitening(n, sums, values[::-1], vecs[:, ::-1], float(np.trace(matrix)))
+    out = Whitening(n, sums, reach, values[::-1], vecs[:, ::-1], float(np.trace(matrix)))
     white = distinct.select(*(w.alias(f"w{k}") for k, w in enumerate(out.projections("x", components))))
     some = [k for k in range(len(white.columns)) if out.values[k] > out.trace * 1e-12]
     if some:
@@ -106,9 +109,13 @@ def whiten(rows: DataFrame, vec_col: str = "embedding", components: int = 4) ->
     found = quantised(rows, vec_col, name=xs)
     model = fit(found, xs, components)
     if model is None:
-        model = Whitening(1, [0], np.zeros(1), np.ones((1, 1)), 0.0)
-    off = [_entry(xs, i).cast("decimal(19,0)") * F.lit(model.n).cast("decimal(19,0)") - F.lit(s).cast("decimal(38,0)") for i, s in enumerate(model.sums)]
-    deviation = _tree([(o.cast("decimal(19,0)") * o.cast("decimal(19,0)")).cast("decimal(38,0)") for o in off]).cast("decimal(38,0)")
+        model = Whitening(1, [0], 0, np.zeros(1), np.ones((1, 1)), 0.0)
+    if len(model.sums) * model.reach**2 < 1 << 63 and model.reach + max(map(abs, model.sums)) < 1 << 63:  # proven to fit a long
+        off = [_entry(xs, i) * F.lit(model.n).cast("long") - F.lit(s).cast("long") for i, s in enumerate(model.sums)]
+        deviation = _tree([o * o for o in off]).cast("decimal(38,0)")
+    else:
+        off = [_entry(xs, i).cast("decimal(19,0)") * F.lit(model.n).cast("decimal(19,0)") - F.lit(s).cast("decimal(38,0)") for i, s in enumerate(model.sums)]
+        deviation = _tree([(o.cast("decimal(19,0)") * o.cast("decimal(19,0)")).cast("decimal(38,0)") for o in off]).cast("decimal(38,0)")
     each = F.array(*(F.struct(F.lit(k + 1).alias("component"), w.alias("whitened"), F.lit(float(model.values[k] / model.trace) if model.trace else 0.0).alias("explained")) for k, w in enumerate(model.projections(xs, components))))
     out = found.select(*carried, deviation.alias("deviation" + tag), F.explode(each).alias(parts))
     return out.select(

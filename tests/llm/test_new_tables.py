@@ -71,6 +71,14 @@ def test_whitening_of_odd_rows(spark):
     assert np.allclose(one.values, several.values) and one.sums == several.sums
 
 
+def test_deviations_beyond_a_long(spark):
+    vectors = [[4.0e12 + i, float(i * i)] for i in range(7)] + [[-4.0e12, 0.5]]
+    got = whitening.whiten(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).where("component = 1")
+    x = [[int(np.floor(256 * c)) for c in v] for v in vectors]
+    sums = [sum(c) for c in zip(*x, strict=True)]
+    assert {r["vec_id"]: int(r["deviation"]) for r in got.collect()} == {i: sum((8 * c - s) ** 2 for c, s in zip(v, sums, strict=True)) for i, v in enumerate(x)}
+
+
 def test_whitening_without_variance(spark):
     schema = "vec_id long, embedding array<float>"
     assert whitening.whiten(spark.createDataFrame([], schema)).collect() == []
