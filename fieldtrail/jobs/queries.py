@@ -15,6 +15,7 @@ from fieldtrail.jobs.run import run_profile
 from fieldtrail.operators import detect, discover, graph, orm, reports, search, sqlrefs, symbols, trace
 from fieldtrail.profiles import PROFILES, Layer
 from fieldtrail.sources import corpus, store
+from fieldtrail.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYWORDS = ["the", "and", "der", "que", "ation"]
@@ -136,7 +137,7 @@ def usages_sharing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     names = F.array(F.concat(F.lit("findPart"), key), F.concat(F.lit("loadPart"), (F.col("p_partkey") % 10).cast("string")), F.concat(F.lit("t_part"), (F.col("p_partkey") % 10).cast("string")))
     keywords = A.table(spark, sf_dir, "part").select(F.explode(names).alias("keyword")).distinct()
-    sites = discover.find_usages_many(_java(spark, sf_dir), keywords)
+    sites = discover.find_usages_many(written(_java(spark, sf_dir)), keywords)
     return sites.select("repo", "file", "keyword", F.col("line").cast("bigint").alias("line"), F.col("col").cast("bigint").alias("col"), "occurrence_type")
 
 
@@ -635,9 +636,9 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sqlrefs.mybatis_xml_statements(A.mapper_files(spark, sf_dir))
     keywords = spark.createDataFrame([("r", "part")], "repo string, keyword string")
     number = F.regexp_extract("qual", "Map([0-9]+)", 1).cast("bigint")
-    statements = sqlrefs.collect_statements([found], keywords)
+    statements = written(sqlrefs.collect_statements([found], keywords))
     units = statements.filter(number % 3 > 0).select("repo", "keyword", F.col("qual").alias("id"), F.lit("unit").alias("kind"))
-    return sqlrefs.link_statements(statements, units)
+    return written(sqlrefs.link_statements(statements, units))
 
 
 @query("WITH " + LINKED_SQL + " SELECT CASE WHEN traced THEN '' ELSE 'not in traced call chain' END AS skip_reason, count(*) AS n FROM st GROUP BY ALL UNION ALL SELECT 'no tables found', count(DISTINCT sup) FROM st")
