@@ -36,7 +36,9 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     doc, body, key1, key2, gone = (name + tag for name in ("doc", "body", "key1", "key2", "gone"))
 
     body_of = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(body_of).alias("k1"), F.xxhash64(F.lit(1), body_of).alias("k2"), F.posexplode(F.split(body_of, "\n")).alias("pos", "line"))
+    # texts are hashed before they are exploded: beside an explode, that would be done for each line
+    base = docs.select(F.col(id_col).alias("doc"), body_of.alias("body")).withColumns({"k1": F.xxhash64("body"), "k2": F.xxhash64(F.lit(1), "body")})
+    base = base.select("doc", "k1", "k2", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
     trimmed = F.btrim("line", F.lit(WORD_SPACE))
     long_ones = base.where(F.length(trimmed) >= min_chars).withColumn("coarse", F.xxhash64(F.lower(trimmed)))
     often = stage(long_ones.groupBy("coarse").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("coarse"))
@@ -55,8 +57,10 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = with_maybe(rows, "my" + key1, lost.select(F.col(key1).alias("my" + key1)), "maybe" + tag)
     hit = rows.where(F.col("maybe" + tag)).join(lost, F.col("my" + key1).eqNullSafe(F.col(key1)) & F.col("my" + key2).eqNullSafe(F.col(key2)) & F.col("my" + doc).eqNullSafe(F.col(doc)), "left")
     lines = F.split(F.col(body), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    texts = F.when(F.col(gone).isNull(), F.col(body)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = lambda cut: F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(gone)), lambda i: F.get(cut, i))
+    # the text is cut once, not once for each line that stays
+    joined = F.transform(F.array(lines), lambda cut: F.array_join(kept(cut), "\n"))[0]
+    texts = F.when(F.col(gone).isNull(), F.col(body)).otherwise(joined)
     hit = hit.select(*carried, F.size(lines).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"), texts.alias("kept_text"))
     rest = rows.where(~F.col("maybe" + tag)).select(*carried, F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col(body).alias("kept_text"))
     return hit.unionByName(rest)
