@@ -223,44 +223,85 @@ def _close(threshold: float) -> Column:
     return _may_reach((c("u_a") + c("v_d")) / c("u_weight"), (c("v_a") + c("u_d")) / c("v_weight"), threshold)
 
 
-def _across(places: DataFrame, texts: DataFrame, links: DataFrame, known: DataFrame, threshold: float, size: int) -> DataFrame | None:
-    """Links (a, b, similarity) that join components of ``links`` within clusters; None if there are none.
+def _sketches(places: DataFrame, buckets: int, registers: int = 3) -> DataFrame:
+    """(cluster, id, buckets) of each text with a feature: hashes of the least of its features under ``registers`` orders, for each bucket.
 
-    First the text nearest to a cluster's core is compared with all others near to it, then texts outside a cluster's largest component
-    with those of other components whom they meet at a feature. Pairs in ``known`` were compared before.
+    Two texts share a bucket with a probability that grows with the share of their features that they have in common.
     """
-    columns = ("id", "component", "weight", "a", "d")
-    side = lambda df, k: df.select("cluster", "feature", *[F.col(c).alias(f"{k}_{c}") for c in columns])
-    apart = F.col("u_component") != F.col("v_component")
+    least = [F.min(F.xxhash64("feature", F.lit(k))).alias(f"least_{k}") for k in range(buckets * registers)]
+    held = places.where("feature IS NOT NULL").groupBy("cluster", "id").agg(*least)
+    hashes = [F.xxhash64(F.lit(k), *[f"least_{k * registers + r}" for r in range(registers)]) for k in range(buckets)]
+    return held.select("cluster", "id", F.array(*hashes).alias("buckets"))
 
-    def compared(met: DataFrame) -> DataFrame:
-        pairs = stage(met.select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
-        found = stage(_similar(pairs, texts, threshold, size))
-        unstage(pairs)
-        return found
 
-    def placed(member: DataFrame) -> DataFrame:
-        return places.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _level(side: str, threshold: float, levels: int) -> Column:
+    """Where a text stands, from 0 to ``levels``, by the share of its weight that lies before a feature.
 
-    member = components(links)
-    near = placed(member).where("feature IS NULL")
+    If two texts are similar and share nothing before their features, these shares are together at most 1 / threshold - 1: by _may_reach, as
+    1 / (1 - p) is at least 1 + p. So the levels of such texts are together at most ``levels``.
+    """
+    share = F.col(f"{side}_a") / F.col(f"{side}_weight") + F.col(f"{side}_d") / F.col(f"{side}_heaviest")
+    return F.least(F.greatest(F.floor(share / max(1 / threshold - 1, 1e-9) * levels - 1e-6), F.lit(0)), F.lit(levels)).cast("int")
+
+
+def _across(places: DataFrame, texts: DataFrame, links: DataFrame, known: DataFrame, threshold: float, size: int, rounds: int = 2, buckets: int = 8, levels: int = 32) -> DataFrame | None:
+    """Links (a, b, similarity) that join components of ``links`` within clusters; None if there are none.
+
+    First the text nearest to a cluster's core is compared with all others near to it. Then texts are put into buckets by their features, and
+    the least of each bucket is compared with those of other components there, in rounds: work is linear in texts, and most that belong
+    together come together. Last, and exactly, texts outside a cluster's largest component meet those of other components
+    at features, at levels that leave room for each other. Pairs in ``known`` were compared before.
+    """
+    columns = ("id", "component", "weight", "heaviest", "a", "d")
+    side = lambda df, k: df.select("cluster", "feature", *[F.col(c).alias(f"{k}_{c}") for c in columns])
+    apart = F.col("u_component") != F.col("v_component")
+    found, tried, linked = None, [], components(links)
+    every = places.select(F.col("id").alias("node")).distinct()
+    member = stage(every.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    unstage(linked)
+
+    def compare(met: DataFrame) -> None:
+        """Add the links among pairs (u_id, v_id), and bring components up to date."""
+        nonlocal found, member
+        pairs = met.select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b")).distinct()
+        for before in (known, *tried):
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = stage(pairs)
+        tried.append(pairs)
+        new = stage(_similar(pairs, texts, threshold, size))
+        if not new.isEmpty():
+            found = new if found is None else found.unionByName(new)
+            # only components that a new link joins are gone through again
+            end = lambda k: member.select(F.col("node").alias(k), F.col("component").alias(f"{k}_component"))
+            joined = components(new.join(end("a"), "a").join(end("b"), "b"), "a_component", "b_component")
+            lower = joined.select(F.col("node").alias("component"), F.col("component").alias("lower"))
+            now = stage(member.join(lower, "component", "left").select("node", F.coalesce("lower", "component").alias("component")))
+            unstage(member, joined)
+            member = now
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(member.withColumnRenamed("node", "id"), "id")
+
+    near = placed(places.where("feature IS NULL"))
     nearest = F.min_by(F.struct(*columns), F.struct(F.col("a") / F.col("weight") + F.col("d") / F.col("heaviest"), "id"))
     centre = near.groupBy("cluster").agg(nearest.alias("u")).select("cluster", *[F.col(f"u.{c}").alias(f"u_{c}") for c in columns])
-    star = compared(side(near, "v").join(centre, "cluster").where(apart & _close(threshold)))
-    if not star.isEmpty():
-        unstage(member)
-        links = links.unionByName(star)
-        member = components(links)
-    here = stage(placed(member))
+    compare(side(near, "v").join(centre, "cluster").where(apart & _close(threshold)))
+    sketches = stage(_sketches(places, rounds * buckets))
+    for r in range(rounds):
+        held = placed(sketches.select("cluster", "id", F.explode(F.slice("buckets", r * buckets + 1, buckets)).alias("bucket")))
+        least = F.min(F.struct(F.col("id").alias("u_id"), F.col("component").alias("u_component"))).alias("u")
+        leads = held.groupBy("cluster", "bucket").agg(least, F.max("id").alias("last")).where("u.u_id < last").select("cluster", "bucket", "u.*")
+        compare(held.select("cluster", "bucket", F.col("id").alias("v_id"), F.col("component").alias("v_component")).join(leads, ["cluster", "bucket"]).where(apart))
+    here = stage(placed(places))
     parts = here.select("cluster", "component", "id").distinct().groupBy("cluster", "component").agg(F.count("*").alias("n"))
     main = stage(parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
-    here = here.join(main, "cluster")
-    outside, other = side(here.where("component <> main"), "u"), side(here, "v")
-    same = (outside["cluster"] == other["cluster"]) & outside["feature"].eqNullSafe(other["feature"])
-    more = compared(outside.join(other, same & apart & _close(threshold)))
-    found = star.unionByName(more)
-    unstage(member)
-    return None if found.isEmpty() else found
+    inside = here.join(main, "cluster")
+    outside = side(inside.where("component <> main"), "u").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels) - _level("u", threshold, levels))))
+    other = side(inside, "v").withColumn("level", _level("v", threshold, levels))
+    same = (outside["cluster"] == other["cluster"]) & outside["feature"].eqNullSafe(other["feature"]) & (outside["level"] == other["level"])
+    compare(outside.join(other, same & apart & _close(threshold)))
+    unstage(member, sketches, here, main, *tried)
+    return found
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 5, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -216,6 +216,51 @@ def test_a_large_group_of_changed_copies_is_not_compared_in_pairs(spark):
     assert got == plain_classes(list(enumerate(texts))) and compared < 3 * len(texts)
 
 
+def changed_thrice(n):
+    """Copies of one template, each with a word of its own in each of three stretches of 50 words."""
+    rnd = random.Random(4)
+    texts = []
+    for _ in range(n):
+        words = [f"w{k}" for k in range(200)]
+        for stretch in (0, 50, 100):
+            words[stretch + rnd.randrange(50)] = f"n{rnd.randrange(10**9)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_pairs_compared_in_a_group_of_changed_copies_grow_with_its_size(spark):
+    compared = {}
+    for n in (300, 1200):
+        texts = changed_thrice(n)
+        got, compared[n] = one_cluster(spark, texts, 0.8)
+        sh = [neardup.shingles(t) for t in texts]
+        members = {}
+        for i, c in got.items():
+            members.setdefault(c, []).append(i)
+        assert all(c == min(m) for c, m in members.items())
+        # no link leads out of a class, and none falls apart
+        for c, m in members.items():
+            assert not any(neardup.probability_jaccard(sh[i], sh[j]) >= 0.8 for i in m for j in range(n) if got[j] > c)
+            reached, front = {c}, [c]
+            while front:
+                i = front.pop()
+                near = [j for j in m if j not in reached and neardup.probability_jaccard(sh[i], sh[j]) >= 0.8]
+                reached.update(near)
+                front += near
+            assert len(reached) == len(m)
+    assert compared[1200] < 4.5 * compared[300]
+
+
+def test_levels_leave_room_for_all_pairs_that_can_be_similar(spark):
+    rnd = random.Random(2)
+    rows = [[rnd.randrange(20, 400), rnd.randrange(20, 400), *(rnd.randrange(25) for _ in range(4))] for _ in range(4000)]
+    rows = [[u, v, max(u, v), *rest] for u, v, *rest in rows]
+    pairs = spark.createDataFrame(rows, "u_weight long, v_weight long, u_heaviest long, u_a long, u_d long, v_a long, v_d long").withColumn("v_heaviest", F.col("u_heaviest"))
+    for threshold in (0.3, 0.8, 0.95, 1.0):
+        close = pairs.where(neardup._close(threshold)).select((neardup._level("u", threshold, 32) + neardup._level("v", threshold, 32)).alias("sum"))
+        assert (threshold == 1.0 or close.count() > 20) and close.where("sum > 32").count() == 0
+
+
 def plain_tiles(item, text, least):
     """Longest common unmarked runs first, by looking at all places."""
     used_i, used_t, total = set(), set(), 0
