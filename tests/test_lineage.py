@@ -277,3 +277,21 @@ def test_usages_of_many_are_the_same_on_all_paths(spark):
     for most in (10_000, 0):
         many = discover.find_usages_many(files, words, max_broadcast=most)
         assert shown(many.filter("keyword = 'shelfNo'")) == one and many.filter("keyword = 'boxNo'").count() == 1
+
+
+def test_mapper_forms_of_the_frameworks(spark):
+    """Attributes in any order, annotated parameters, qualified names, both quotes; windows without a limit."""
+    far = "    # filler\n" * 200
+    files = files_of(spark, [
+        ("r", "A.java", '@Entity\n@Table(schema = "x", indexes = @Index(columnList = "no"), name = "t_a")\npublic class A {}'),
+        ("r", "B.java", 'interface B extends Base, JpaRepository<a.b.A, Long> {\n A findByNo(@Param("no") String no);\n}'),
+        ("r", "m.py", f"class M(Base):\n{far}    __tablename__: str = 't_m'\nclass N(Base):\n    __tablename__ = \"t_n\"\n"),
+        ("r", "c.cs", '[Table("t_c", Schema = "' + "s" * 400 + '")]\npublic class C { }\nclass D { DbSet<global::App.Models.E>? Es; }'),
+        ("r", "x.xml", '<mapper namespace="m.X"><select data-id="no" id=\'over\' note="a > b">select * from t_x</select></mapper>'),
+    ])
+    assert {(r["cls"], r["table"]) for r in orm.entity_tables(files).collect()} == {("A", "t_a")}
+    assert [(r["qual"], r["tables"]) for r in orm.jpa_statements(files).collect()] == [("B.findByNo", ["t_a"])]
+    assert {(r["cls"], r["table"]) for r in orm.sqlalchemy_models(files, near=None).collect()} == {("M", "t_m"), ("N", "t_n")}
+    assert {r["cls"] for r in orm.sqlalchemy_models(files).collect()} == {"N"}
+    assert {(r["cls"], r["table"]) for r in orm.ef_entities(files, near=None).collect()} == {("C", "t_c"), ("E", "Es")}
+    assert [(r["qual"], r["tables"]) for r in sqlrefs.mybatis_xml_statements(files).collect()] == [("X.over", ["t_x"])]
