@@ -253,7 +253,7 @@ def test_pairs_compared_in_a_group_of_changed_copies_grow_with_its_size(spark):
 
 def test_levels_leave_room_for_all_pairs_that_can_be_similar(spark):
     rnd = random.Random(2)
-    rows = [[rnd.randrange(20, 400), rnd.randrange(20, 400), *(rnd.randrange(25) for _ in range(4))] for _ in range(4000)]
+    rows = [[rnd.randrange(20, 400), rnd.randrange(20, 400), *(rnd.randrange(25) for _ in range(4))] for _ in range(20000)]
     rows = [[u, v, max(u, v), *rest] for u, v, *rest in rows]
     pairs = spark.createDataFrame(rows, "u_weight long, v_weight long, u_heaviest long, u_a long, u_d long, v_a long, v_d long").withColumn("v_heaviest", F.col("u_heaviest"))
     for threshold in (0.3, 0.8, 0.95, 1.0):
