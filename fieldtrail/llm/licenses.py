@@ -7,6 +7,7 @@ that follow each other in one template, with small gaps, chain into a covered sp
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -98,8 +99,19 @@ class _State:
     length: int
     link: int = -1
     to: dict[int, int] = field(default_factory=dict)
-    #: template -> end position of the first occurrence there
-    ends: dict[int, int] = field(default_factory=dict)
+    #: template -> end positions of all occurrences there
+    ends: dict[int, list[int]] = field(default_factory=dict)
+
+
+@dataclass
+class _Chain:
+    """Matches in a row: first and last word, end in the template, words covered, whether a longer chain goes on from it."""
+
+    first: int
+    last: int
+    end: int
+    covered: int
+    goes_on: bool = False
 
 
 class LicenseScanner:
@@ -141,14 +153,14 @@ class LicenseScanner:
                 s[new].link = q if s[q].length == s[p].length + 1 else self._split(p, word, q)
         p = new
         while p > 0:
-            s[p].ends.setdefault(template, end)
+            s[p].ends.setdefault(template, []).append(end)
             p = s[p].link
         return new
 
     def _split(self, p: int, word: int, q: int) -> int:
         s = self.states
         copy = len(s)
-        s.append(_State(s[p].length + 1, s[q].link, dict(s[q].to), dict(s[q].ends)))
+        s.append(_State(s[p].length + 1, s[q].link, dict(s[q].to), {k: list(v) for k, v in s[q].ends.items()}))
         s[q].link = copy
         while p >= 0 and s[p].to.get(word) == q:
             s[p].to[word] = copy
@@ -178,21 +190,42 @@ class LicenseScanner:
         return out
 
     def spans(self, text: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """Chains: label, first and last word, share of the template's words that the chain covers."""
-        open_chains: dict[int, list[int]] = {}  # template -> first word, last word, end in the template, words covered
-        done: list[tuple[int, list[int]]] = []
+        """Chains: label, first and last word, share of the template's words that the chain covers.
+
+        A match stands at each of its places in a template, and goes on there from the chain with which it covers most. Of chains of one
+        template that overlap in the text, the one that covers most stays, of equal ones the first.
+        """
+        live: dict[int, list[_Chain]] = {}
+        done: dict[int, list[_Chain]] = {}
         for last, length, state in self.matches(text):
-            for k, end in self.states[state].ends.items():
-                first, begin = last - length + 1, end - length + 1
-                c = open_chains.get(k)
-                if c and begin > c[2] - length and end > c[2] and last > c[1] and first - c[1] - 1 <= self.max_gap and begin - c[2] - 1 <= self.max_gap:
-                    open_chains[k] = [c[0], last, end, c[3] + min(length, end - c[2], last - c[1])]
-                else:
-                    if c:
-                        done.append((k, c))
-                    open_chains[k] = [first, last, end, length]
-        done += open_chains.items()
-        return sorted((self.labels[k], c[0], c[1], c[3] / len(self.texts[k])) for k, c in done)
+            first = last - length + 1
+            for k, ends in self.states[state].ends.items():
+                # matches come by their first words, so what lies too far back stays there
+                before = [c for c in live.get(k, ()) if first - c.last - 1 <= self.max_gap]
+                done.setdefault(k, []).extend(c for c in live.get(k, ()) if first - c.last - 1 > self.max_gap)
+                live[k] = before + [self._chain(before, first, last, end) for end in ends]
+        out = []
+        for k, rest in live.items():
+            taken: list[tuple[int, int]] = []
+            for c in sorted((c for c in done[k] + rest if not c.goes_on), key=lambda c: (-c.covered, c.first, c.last)):
+                at = bisect_right(taken, (c.last, len(text)))
+                if not at or taken[at - 1][1] < c.first:
+                    insort(taken, (c.first, c.last))
+                    out.append((self.labels[k], c.first, c.last, c.covered / len(self.texts[k])))
+        return sorted(out)
+
+    def _chain(self, before: list[_Chain], first: int, last: int, end: int) -> _Chain:
+        """The match of words ``first`` to ``last`` that ends at ``end`` in the template, after the best of the chains ``before``."""
+        length, best, covered = last - first + 1, None, last - first + 1
+        for c in before:
+            if c.last < last and c.end < end and end - length - c.end <= self.max_gap:
+                n = c.covered + min(length, end - c.end, last - c.last)
+                if n > covered or (n == covered and best is None):
+                    best, covered = c, n
+        if best is None:
+            return _Chain(first, last, end, length)
+        best.goes_on = True
+        return _Chain(best.first, last, end, covered)
 
     def scan(self, text: str | None) -> dict:
         """Base phrases and chains of one text; see :func:`scan` for the fields."""
