@@ -10,7 +10,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea noscript template svg math iframe object canvas title".split())
+#: Of these, those whose text is that of the page if nothing closes them; the others then go on to the page's end.
+OPEN_ENDED = frozenset("noscript template svg math object canvas".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup", "legend", "summary", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd"}
 SELF_CLOSING = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -35,6 +37,8 @@ BAD_WORDS = frozenset(
     "search searchbox form skip tags taglist toc teaser".split()
 )
 GOOD_WORDS = frozenset("article content post entry story main body text hentry".split())
+#: With one of these a header is an article's own.
+ARTICLE_WORDS = frozenset("article post entry story hentry".split())
 
 #: Weights of the classifier: a positive sum speaks for content.
 WEIGHTS = {"bias": 0.0, "article": 3.0, "outside": -3.5, "bad": -14.0, "marked": -8.0, "good": 1.2, "length": 0.5, "links": -4.0, "sentence": 1.0, "heading": 1.0, "item": -0.4}
@@ -73,7 +77,7 @@ class Element:
 def _hints(tag: str, raw: str, in_article: bool) -> tuple[bool, str, bool, str]:
     """Whether the element speaks against content, its mark (a form, or a class or id with a bad word), whether it
     speaks for content, and the article or main that it states to be."""
-    bad, good = tag in BAD_TAGS or (tag == "header" and not in_article), tag in GOOD_TAGS
+    bad, good, of_site = tag in BAD_TAGS, tag in GOOD_TAGS, tag == "header" and not in_article
     mark, stated = "form" if tag == "form" else "", tag if good else ""
     if raw and "=" in raw or "hidden" in raw:
         for m in _ATTRIBUTE.finditer(raw):
@@ -81,7 +85,10 @@ def _hints(tag: str, raw: str, in_article: bool) -> tuple[bool, str, bool, str]:
             value = m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
                 words = {w.lower() for w in _SPLIT_WORDS.split(value)} | set(value.lower().split())
-                if tag not in ("body", "html") and words & BAD_WORDS:
+                against = words & BAD_WORDS
+                if "header" in against and (words & ARTICLE_WORDS or (tag == "header" and in_article)):
+                    against, of_site = against - {"header"}, False
+                if tag not in ("body", "html") and against:
                     mark = f"{tag} {value}"
                 elif words & GOOD_WORDS:
                     good = True
@@ -92,7 +99,7 @@ def _hints(tag: str, raw: str, in_article: bool) -> tuple[bool, str, bool, str]:
             elif (name == "hidden") or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
                 bad = True
     # class words do not outweigh an element that states what it is
-    return bad, "" if stated else mark, good, stated
+    return bad or of_site, "" if stated else mark, good, stated
 
 
 def _wrappers(page: list[Block], stated: list[tuple[str, str, tuple[str, ...]]]) -> set[str]:
@@ -116,13 +123,16 @@ def _wrappers(page: list[Block], stated: list[tuple[str, str, tuple[str, ...]]])
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order; text in the head, scripts, styles and comments is none."""
+    """Text blocks in page order; text in the head, scripts, styles and comments is none. A script, style, title, text area or frame
+    that nothing closes goes on to the end, as the standard has it; drawings and the like that nothing closes hide nothing."""
     out: list[Block] = []
     stack = [Element("")]
     # articles and mains: what each is, the main around it, its marks
     stated: list[tuple[str, str, tuple[str, ...]]] = []
     parts: list[str] = []
     links, in_link, count, at, skip_head = 0, 0, 0, 0, False
+    opened: Counter[str] = Counter()  # elements on the stack
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal links
@@ -137,6 +147,7 @@ def blocks(html: str) -> list[Block]:
     def close(k: int) -> None:
         nonlocal in_link, skip_head
         for x in stack[k:]:
+            opened[x.tag] -= 1
             in_link -= x.tag == "a"
             skip_head = skip_head and x.tag != "head"
         del stack[k:]
@@ -158,7 +169,7 @@ def blocks(html: str) -> list[Block]:
             continue
         raw = m[3] or m[6] or ""
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     if tag in BLOCK:
                         flush()
@@ -166,15 +177,18 @@ def blocks(html: str) -> list[Block]:
                     break
             continue
         if tag in RAW and not raw.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            if end or tag not in OPEN_ENDED:
+                at = end.end() if end else len(html)
+            else:
+                unclosed.add(tag)
             if tag not in ("svg", "math", "canvas", "object"):
                 continue
             add(" ")
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and opened["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
                         close(k)
@@ -183,7 +197,7 @@ def blocks(html: str) -> list[Block]:
                         break
             if tag in SELF_CLOSING:
                 same, stop = SELF_CLOSING[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in same.split()) else ():
                     if stack[k].tag in stop:
                         break
                     if stack[k].tag in same.split():
@@ -206,6 +220,7 @@ def blocks(html: str) -> list[Block]:
         if kind and not (top.bad or bad) and top.inner != "article":
             stated.append((kind, top.inner, top.marks))
         stack.append(Element(tag, count, article, top.bad or bad, top.good or good, (*top.marks, mark) if mark else top.marks, top.inner if top.inner == "article" else kind or top.inner))
+        opened[tag] += 1
         in_link += tag == "a"
     flush()
     if any(b.marks for b in out):

@@ -106,6 +106,14 @@ def test_toxic_texts_held_out(spark):
     assert toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels.limit(0)).score("x")[1] == 0
 
 
+@pytest.mark.parametrize(("sf", "recall", "false"), [("0.01", 0.6, 0.02), ("0.1", 0.9, 0.03)])
+def test_toxic_texts_are_found(spark, sf, recall, false):
+    folder = f"/root/testdata/sf{sf}"
+    got = Q.op10_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
+    share = {r["toxic"]: r["share"] for r in got.groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()}
+    assert share[1] >= recall and share[0] <= false
+
+
 def test_toxic_words_of_any_length_and_odd_rows(spark):
     m = toxicity.ToxicityModel([("moron", False, 0.99), ("scum", False, 0.99), ("quardo", True, 0.99), ("ab", False, 0.99)], 0.01)
     for word in ("moron/" + "x" * 60, "quardo" + "y" * 60, "skum", "scvm", "ab", "well-known-moron"):
@@ -310,6 +318,11 @@ COMMENTS = '<section id="comments"><article class="comment"><p>' + "What a story
         f'<main><nav>Home</nav><div class="layout with-sidebar"><article>{STORY}</article></div><div class="comment-area">{COMMENTS}</div></main>',
         f'<div class="with-sidebar" role="main">{STORY}</div>',
         f'<article>{STORY}{COMMENTS}</article><aside><article><p>Another story that is told elsewhere, at length.</p></article></aside>',
+        f'<article>{STORY.replace("<h1>A day</h1>", '<header class="entry-header"><h1>A day</h1></header>')}</article>',
+        f'<header class="site-header"><p>The town paper, each day anew.</p></header><article>{STORY.replace("<h1>A day</h1>", '<div class="post-header"><h1>A day</h1></div>')}</article>',
+        f'<div class="hentry"><header class="entry-header"><h1>A day</h1></header>{STORY[len("<h1>A day</h1>"):]}</div>',
+        f'<article><svg><path d="M0"/>{STORY}</article>',
+        f'<article><object data="x">{STORY}<canvas></article>',
         f'<div class="no-ads" hidden><article><p>Not to be seen by anybody at all, ever.</p></article></div><article>{STORY}</article>',
     ],
 )
@@ -317,6 +330,16 @@ def test_wrappers_do_not_hide_the_text(html):
     assert maintext.main_text(f"<body>{html}</body>")[0] == STORY_TEXT
 
 
+def test_stray_tags_take_linear_time():
+    """Tags that close nothing, and drawings that nothing closes, are not looked for again and again."""
+    from time import process_time
+
+    for stray in ("</i>", "<svg>", "</li>"):
+        began = process_time()
+        assert maintext.main_text("<article>" + "<b>" * 3000 + stray * 30_000 + STORY)[0] == STORY_TEXT
+        assert process_time() - began < 5, stray
+
+
 def test_neighbours_overturn_a_mark():
     note = "The notice that was read out in the town that day was as long as all the others were, and it said " + "that nobody would come, " * 20 + "ever."
     html = f'<article class="post-content"><p>{note}</p><p class="notice">{note}</p><p>{note}</p></article>'
@@ -379,3 +402,50 @@ def test_bodies_of_licences():
         assert label in got["labels"].split(",") and got["score"] > 0.9, label
         assert any(x["label"] == label and x["last"] - x["first"] > 0.9 * len(words) for x in got["spans"])
     assert "isc" not in scanner.scan(" ".join(licenses.TEMPLATES[-5][1].split()[:40]))["labels"]
+
+
+def plain_chains(scanner, text):
+    """The greatest share of each template that a chain of matches covers, by trying all chains."""
+    best = {}
+    for k, template in enumerate(scanner.texts):
+        known = [scanner.vocabulary.get(w) for w in text]
+        at = []
+        for last, length, _ in scanner.matches(text):
+            run = known[last - length + 1 : last + 1]
+            at += [(last, e, length) for e in range(length - 1, len(template)) if template[e - length + 1 : e + 1] == run]
+        value = []
+        for i, (last, end, n) in enumerate(at):
+            longer = [v + min(n, end - e, last - x) for (x, e, _), v in zip(at[:i], value, strict=True) if x < last and e < end and last - n - x <= scanner.max_gap and end - n - e <= scanner.max_gap]
+            value.append(max([n, *longer]))
+        if value:
+            best[scanner.labels[k]] = max(best.get(scanner.labels[k], 0), max(value) / len(template))
+    return best
+
+
+def test_chains_against_all_chains():
+    rnd = random.Random(12)
+    made = [(f"t{k}", " ".join(rnd.choice("abcd") * 2 for _ in range(30))) for k in range(3)]
+    for scanner, rounds in ((licenses.LicenseScanner(made), 200), (licenses.LicenseScanner(), 30)):
+        for _ in range(rounds):
+            text = licenses.words(rnd.choice(made if rounds == 200 else licenses.TEMPLATES)[1])
+            for _ in range(rnd.randrange(6)):
+                k = rnd.randrange(len(text) + 1)
+                text[k : k + rnd.randrange(2)] = rnd.choice([[b"zz"], [b"zz", b"yy"], [], text[:5]])
+            found = scanner.spans(text)
+            got = {label: max(x[3] for x in found if x[0] == label) for label in {x[0] for x in found}}
+            assert got == pytest.approx(plain_chains(scanner, text))
+            by_label = {}
+            for label, first, last, _ in found if rounds == 200 else ():
+                assert by_label.get(label, -1) < first <= last
+                by_label[label] = last
+
+
+def test_runs_that_repeat_in_a_licence():
+    """Words changed on both sides of a run that stands twice in a body."""
+    scanner = licenses.LicenseScanner()
+    body = next(t for label, t in licenses.TEMPLATES if label == "bsd" and len(t) > 1000).split()
+    second = [k for k in range(len(body)) if body[k : k + 4] == ["this", "list", "of", "conditions"]][1]
+    body[second - 1], body[second + 4] = "xx", "yy"
+    got = scanner.scan(" ".join(body))
+    assert "bsd" in got["labels"].split(",") and got["score"] > 0.9
+    assert [x["label"] for x in got["spans"]].count("bsd") >= 1
