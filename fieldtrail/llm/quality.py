@@ -112,8 +112,8 @@ class LineCrf:
         return (float(size[path == CONTENT].sum() / size.sum()) if len(size) else 0.0), int((path == CONTENT).sum()), len(path)
 
 
-def fit_crf(docs: list[np.ndarray], labels: list[int], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> LineCrf:
-    """Maximum likelihood by gradient ascent (Adam): every line has the label of its text. Forward-backward runs over all texts at once."""
+def fit_crf(docs: list[np.ndarray], labels: list[int] | list[np.ndarray], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> LineCrf:
+    """Maximum likelihood by gradient ascent (Adam), of a label for each text or for each of its lines. Forward-backward runs over all texts at once."""
     if not docs:
         return LineCrf(np.eye(1, N_FEATURES, N_FEATURES - 1)[0], np.zeros((2, 2)))
     longest = max(map(len, docs))
@@ -121,10 +121,14 @@ def fit_crf(docs: list[np.ndarray], labels: list[int], rounds: int = 200, rate:
     live = np.zeros((len(docs), longest), bool)
     for i, d in enumerate(docs):
         x[i, : len(d)], live[i, : len(d)] = d, True
-    y = np.array(labels)
+    y = np.zeros(live.shape, np.int64)
+    for i, label in enumerate(labels):
+        y[i, : len(docs[i])] = label
     theta, m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     pairs = live[:, 1:] & live[:, :-1]
-    share = np.array([0.5 / max(1, (y == k).sum()) for k in (0, 1)])[y]  # both labels weigh alike
+    # texts that are mostly of the one label weigh as much as those of the other
+    mostly = (2 * (y * live).sum(1) >= live.sum(1)).astype(int)
+    share = np.array([0.5 / max(1, (mostly == k).sum()) for k in (0, 1)])[mostly]
     for step in range(1, rounds + 1):
         emit, move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
         score = np.stack([np.zeros(live.shape), x @ emit], -1)
@@ -138,20 +142,42 @@ def fit_crf(docs: list[np.ndarray], labels: list[int], rounds: int = 200, rate:
         total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
         p = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - total[:, None]) * live
         grad = np.zeros_like(theta)
-        grad[:N_FEATURES] = np.einsum("nt,ntf->f", (y[:, None] * live - p) * share[:, None], x)
+        grad[:N_FEATURES] = np.einsum("nt,ntf->f", (y * live - p) * share[:, None], x)
         for a in (0, 1):
             for b in (0, 1):
                 joint = np.exp(fwd[:, :-1, a] + move[a, b] + score[:, 1:, b] + bwd[:, 1:, b] - total[:, None, None].reshape(-1, 1)) * pairs
-                grad[N_FEATURES + 2 * a + b] = ((((y == a) & (a == b))[:, None] * pairs - joint) * share[:, None]).sum()
+                grad[N_FEATURES + 2 * a + b] = (((y[:, :-1] == a) & (y[:, 1:] == b) & pairs) * share[:, None] - joint * share[:, None]).sum()
         grad -= decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return LineCrf(theta[:N_FEATURES].copy(), theta[N_FEATURES:].reshape(2, 2).copy())
 
 
+def line_labels(docs: list[np.ndarray], labels: list[int], crf: LineCrf, margin: float = 1.0) -> list[np.ndarray]:
+    """A label for each line: its text's, or the other one where the line alone speaks for it by ``margin``. Fewer than half of a text's lines
+    get the other one, those that speak for it most."""
+    out = []
+    for x, label in zip(docs, labels, strict=True):
+        y = np.full(len(x), label)
+        other = (x @ crf.emit) * (1 if label == BOILERPLATE else -1)
+        order = np.argsort(-other, kind="stable")[: (len(x) - 1) // 2]
+        y[order[other[order] > margin]] = 1 - label
+        out.append(y)
+    return out
+
+
+def joined(docs: list[np.ndarray], labels: list[int], lines: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each boilerplate text with a content text before or after it, in turn: sequences in which the label is known to change."""
+    bad, good = ([i for i, y in enumerate(labels) if y == k] for k in (BOILERPLATE, CONTENT))
+    pairs = [(a, b) if k % 2 else (b, a) for k, (a, b) in enumerate(zip(bad, good, strict=False))]
+    return [np.concatenate([docs[a], docs[b]]) for a, b in pairs], [np.concatenate([lines[a], lines[b]]) for a, b in pairs]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_label: int = 1000, max_lines: int = 64) -> LineCrf:
     """Fit on about ``docs_per_label`` texts of quality 0 and of 1, chosen by a hash of the id. A text of more than ``max_lines`` lines is several sequences.
 
+    Labels of lines are latent: they start as those of their texts, and are estimated again from a first fit on texts (see line_labels). The second
+    fit also has texts joined in pairs (see joined), from which it learns how labels change within a text.
     ``labels`` needs ``id_col`` and quality (0 or 1). Without both labels, also on empty tables, all lines are content.
     """
     sample, sizes, _ = labelled_sample(docs, labels, "quality", {0: docs_per_label, 1: docs_per_label}, id_col, text_col)
@@ -166,7 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     sample = sample.select(F.col(id_col).cast("string").alias("id"), "label", "text")
     rows = sorted(sample.mapInArrow(features, "id string, label int, first long, x array<double>").collect())
-    return fit_crf([np.array(r["x"]).reshape(-1, N_FEATURES) for r in rows], [r["label"] for r in rows])
+    texts, kinds = [np.array(r["x"]).reshape(-1, N_FEATURES) for r in rows], [r["label"] for r in rows]
+    lines = line_labels(texts, kinds, fit_crf(texts, kinds, rounds=80))
+    more, more_lines = joined(texts, kinds, lines)
+    return fit_crf(texts + more, lines + more_lines)
 
 
 _FIELDS = {**dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_content_lines"), pa.int64()), "content_share": pa.float64(), "base_failed": pa.bool_(), "kept": pa.bool_()}

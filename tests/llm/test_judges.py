@@ -177,6 +177,33 @@ def test_quality_of_labelled_texts(spark):
     assert quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels.limit(0)).judge("some words here.")[0] == 1.0
 
 
+def test_lines_of_joined_texts(spark):
+    """Texts that the fit did not see, and such texts one after another: lines on both sides of the seam get their own labels."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    crf = quality.fit(docs, labels.where(half))
+    rows = docs.join(labels.where(~half), "doc_id").where("text IS NOT NULL AND quality IS NOT NULL").orderBy("doc_id").select("text", "quality").collect()
+    rows = [(r["text"], r["quality"]) for r in rows if len(r["text"].split()) >= 50]
+    wrong = [(text, q) for text, q in rows if (crf.judge(text)[0] >= crf.cut) != (q == 1)]
+    assert len(wrong) <= 0.005 * len(rows)
+    bad, good = ([text for text, q in rows if q == k] for k in (0, 1))
+    right, both = [], 0
+    for k, (b, g) in enumerate(zip(bad, good)):
+        parts = [(b, 0), (g, 1)] if k % 3 == 0 else [(g, 1), (b, 0)]
+        want = np.concatenate([np.full(len(quality.line_features(t)), q) for t, q in parts])
+        path = crf.decode(quality.line_features("\n".join(t for t, _ in parts)))
+        right.append((path == want).mean())
+        both += len(set(path.tolist())) == 2
+    assert len(right) > 50 and np.mean(right) > 0.9 and both > 0.9 * len(right)
+
+
+def test_labels_of_lines():
+    crf = quality.LineCrf(np.eye(1, quality.N_FEATURES, 0)[0], np.zeros((2, 2)))
+    x = np.zeros((5, quality.N_FEATURES))
+    x[:, 0] = [-2, 3, -4, -5, 0.5]
+    assert [y.tolist() for y in quality.line_labels([x, x, x[:1], x[:0]], [1, 0, 1, 0], crf)] == [[1, 1, 0, 0, 1], [0, 1, 0, 0, 0], [1], []]
+
+
 def test_automaton_holds_all_runs_of_words():
     s = licenses.LicenseScanner()
     rnd = random.Random(4)
