@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrail.llm.common import WordHashes, mix, rolling, stage, unstage, with_maybe
-from fieldtrail.llm.components import components
+from fieldtrail.llm.components import components, merged
 
 #: Of the words seen last, in each worker.
 _HASHES = WordHashes()
@@ -244,8 +244,8 @@ def _level(side: str, threshold: float, levels: int) -> Column:
     return F.least(F.greatest(F.floor(share / max(1 / threshold - 1, 1e-9) * levels - 1e-6), F.lit(0)), F.lit(levels)).cast("int")
 
 
-def _across(places: DataFrame, texts: DataFrame, links: DataFrame, known: DataFrame, threshold: float, size: int, rounds: int = 2, buckets: int = 8, levels: int = 32) -> DataFrame | None:
-    """Links (a, b, similarity) that join components of ``links`` within clusters; None if there are none.
+def _across(places: DataFrame, texts: DataFrame, links: DataFrame, known: DataFrame, threshold: float, size: int, rounds: int = 2, buckets: int = 8, levels: int = 32, linked: DataFrame | None = None) -> DataFrame | None:
+    """Links (a, b, similarity) that join components of ``links`` (``linked``, if they are known) within clusters; None if there are none.
 
     First the text nearest to a cluster's core is compared with all others near to it. Then texts are put into buckets by their features, and
     the least of each bucket is compared with those of other components there, in rounds: work is linear in texts, and most that belong
@@ -255,10 +255,12 @@ def _across(places: DataFrame, texts: DataFrame, links: DataFrame, known: DataFr
     columns = ("id", "component", "weight", "heaviest", "a", "d")
     side = lambda df, k: df.select("cluster", "feature", *[F.col(c).alias(f"{k}_{c}") for c in columns])
     apart = F.col("u_component") != F.col("v_component")
-    found, tried, linked = None, [], components(links)
+    found, tried = None, []
+    labels = components(links) if linked is None else linked
     every = places.select(F.col("id").alias("node")).distinct()
-    member = stage(every.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    unstage(linked)
+    member = stage(every.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    if linked is None:
+        unstage(labels)
 
     def compare(met: DataFrame) -> None:
         """Add the links among pairs (u_id, v_id), and bring components up to date."""
@@ -271,12 +273,8 @@ def _across(places: DataFrame, texts: DataFrame, links: DataFrame, known: DataFr
         new = stage(_similar(pairs, texts, threshold, size))
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
-            # only components that a new link joins are gone through again
-            end = lambda k: member.select(F.col("node").alias(k), F.col("component").alias(f"{k}_component"))
-            joined = components(new.join(end("a"), "a").join(end("b"), "b"), "a_component", "b_component")
-            lower = joined.select(F.col("node").alias("component"), F.col("component").alias("lower"))
-            now = stage(member.join(lower, "component", "left").select("node", F.coalesce("lower", "component").alias("component")))
-            unstage(member, joined)
+            now = merged(member, new)
+            unstage(member)
             member = now
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -334,10 +332,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     clusters = components(shared.join(divided, "bucket", "left_semi").select(F.col("leader").alias("a"), F.col("id").alias("b")))
     if not clusters.isEmpty():
         places = _meeting_places(texts, clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), threshold, size)
-        found = _across(places, texts, links, pairs, threshold, size)
+        found = _across(places, texts, links, pairs, threshold, size, linked=member)
         if found is not None:
+            now = merged(member, found)
             unstage(member)
-            member = components(links.unionByName(found))
+            member = now
         unstage(places)
     unstage(clusters, wanted, pairs, texts, shared, links)
     known = keyed.select("id", "key").join(first, "key").join(member.withColumnRenamed("node", "first"), "first", "left")

@@ -245,6 +245,48 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def rows_joined(spark, work):
+    """The rows that joins make while ``work`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total, runs = 0, store.executionsList()
+    for k in range(before, runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size() if "Join" in node.name() else 0)):
+                if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    total += int(v.get().replace(",", ""))
+    return total
+
+
+def test_edges_inside_a_component_are_not_gone_through_again(spark):
+    """Nodes each with an edge to several of a few leaders, as buckets of near duplicates make them, in groups that a chain connects."""
+    rnd = random.Random(6)
+    for n in (500, 2000):
+        edges = {(1000 * g + rnd.randrange(12), 1000 * g + k) for g in range(n // 500) for k in range(12, 500) for _ in range(20)}
+        edges |= {(1000 * g + 400, 1000 * g + 1400) for g in range(n // 500 - 1)} | {(10**6 + k, 10**6 + k + 1) for k in range(40)}
+        frame = spark.createDataFrame([(a, b) for a, b in edges], "a long, b long")
+        got = {}
+        joined = rows_joined(spark, lambda: got.update({r["node"]: r["component"] for r in components.components(frame).collect()}))  # noqa: B023
+        want = {x: min(x, 10**6) if x >= 10**6 else min(y for e in edges for y in e) for e in edges for x in e}
+        assert got == want and joined < 4 * len(edges)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_more_edges_merge_components(spark, kind):
+    rnd = random.Random(7)
+    for many, more in ((40, 12), (0, 20), (25, 0)):
+        edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(many)]
+        added = [(rnd.randrange(100), rnd.randrange(100)) for _ in range(more)] + [(4, 4), (None, 3), (99, 0), (0, 99)]
+        frames = [spark.createDataFrame(e, "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b") for e in (edges, added)]
+        as_dict = lambda df: {r["node"]: r["component"] for r in df.collect()}
+        labels = components.components(frames[0])
+        assert as_dict(components.merged(labels, frames[1])) == as_dict(components.components(frames[0].unionByName(frames[1])))
+
+
 def test_url_rules_and_aliases(spark):
     link = '<link rel="canonical" href="%s">'
     rows = [
