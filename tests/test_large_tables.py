@@ -4,6 +4,9 @@ import io
 import re
 from contextlib import redirect_stdout
 
+from pyspark.sql import functions as F
+
+from fieldtrail.functions.ranks import ranked
 from fieldtrail.jobs import adapters
 from fieldtrail.operators import sqlrefs
 
@@ -39,3 +42,23 @@ def test_f12_attributes_and_tables_are_as_written(spark):
     files = spark.createDataFrame([("r", "m.xml", xml)], "repo string, path string, text string")
     got = [(r["namespace"], r["method"], r["op"], r["tables"], r["pos"]) for r in sqlrefs.mybatis_xml_statements(files).collect()]
     assert got == [('a.b"c', "x>1", "select", ["t", "u", "w"], 0), ('a.b"c', "up", "update", ["e", "f"], 2)]
+
+
+# ---- Facts of tables ----
+
+
+def test_f17_statements_are_sorted_once_and_numbers_order_the_facts(spark):
+    rows = [(f"q{i % 7}", f"f{i % 3}", i, ["a", "b"] if i % 2 else ["a"]) for i in range(40)]
+    facts = sqlrefs.table_facts(statements(spark, rows))
+    assert "struct" not in next(x for x in plan_of(facts).split("\n\n") if "Aggregate" in x)
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    want = {(t, i + 1, q) for t in "ab" for i, q in enumerate(dict.fromkeys(r[0] for r in order if t in r[3]))}
+    assert {(r["table"], r["place"], r["value"]) for r in facts.filter("list = 'source_units'").collect()} == want
+    only = sqlrefs.table_facts(statements(spark, rows), lists=["source_files", "ops"])
+    assert {r["list"] for r in only.collect()} == {"source_files", "ops"}
+
+
+def test_f17_equal_rows_have_one_number(spark):
+    df = spark.createDataFrame([(x, i) for i, x in enumerate([3, None, 1, 3, 1, 2] * 5)], "x int, i int").repartition(7)
+    got = ranked(df, ["x"]).groupBy("x").agg(F.min("at").alias("least"), F.max("at").alias("most")).orderBy("least").collect()
+    assert [r["x"] for r in got] == [None, 1, 2, 3] and all(r["least"] == r["most"] for r in got)
